@@ -23,12 +23,42 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditlake.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditlake.llm.urlrules import judge
+
+    return judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).drop("confidence")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditlake.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op5_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditlake.llm.pieces import count_pieces
+
+    return count_pieces(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditlake.llm.warcz import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditlake.llm.wavelet import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditlake.llm.simhash import hex_of, near_duplicates
 
@@ -44,7 +74,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.pmod(crc_of_id("doc_id"), F.lit(4)) == 2).alias("held_out"), "score", "predicted")
 
 
-_OPERATORS = [op1_decontamination, op4_packing, op9_simhash, op10_toxicity]
+_OPERATORS = [
+    op1_decontamination,
+    op2_ann,
+    op3_url_rules,
+    op4_packing,
+    op5_piece_counts,
+    op7_warc,
+    op8_token_shards,
+    op9_simhash,
+    op10_toxicity,
+]
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -56,4 +96,12 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES = {q.__name__: _shipped(q) for q in _OPERATORS}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_warc": """
+        select page_id, cast(strlen(body) as bigint) as payload_bytes, sha256(body) as payload_digest,
+            case when strlen(body) >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+            case when strlen(body) >= 100 and page_id <> first_id then first_id end as refers_to
+        from (select page_id, body, min(page_id) over (partition by body) as first_id
+              from (select page_id, coalesce(html, '') as body from pages) as p) as q
+    """,
+}
