@@ -47,6 +47,12 @@ def op5_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_pieces(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from auditlake.llm.katz import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from auditlake.llm.warcz import round_trip
 
@@ -80,6 +86,7 @@ _OPERATORS = [
     op3_url_rules,
     op4_packing,
     op5_piece_counts,
+    op6_katz,
     op7_warc,
     op8_token_shards,
     op9_simhash,
