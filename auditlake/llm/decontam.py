@@ -169,28 +169,37 @@ def blocks_of(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[l
         yield [(bytes(r["window"]), list(r["items"])) for r in part.collect()]
 
 
+def state_names(columns: list[str]) -> list[str]:
+    """Names of the three columns that ``find_contamination`` adds to a table with these columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in ("n_words", "hit_spans", "items"):
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, *, window: int = 10, shingle: int = 3, threshold: float = 1.0, block_bytes: int = 32 << 20
 ) -> DataFrame:
     """Adds ``n_words``, ``hit_spans`` (packed word offsets) and ``items`` to the rows of ``docs``.
 
-    ``docs`` needs a column ``text``; its other columns pass through. A null or
-    empty text has no words and no hits. Items with null ids or without words
-    are left out; repeated items count once. An empty benchmark or an empty
-    table of documents gives no hits or no rows. Columns of ``docs`` that bear
-    one of the three added names are replaced.
+    ``docs`` needs a column ``text``; all its columns pass through, and the added
+    names get underscores in front where ``docs`` has them already (see
+    ``state_names``). A null or empty text has no words and no hits. Items with
+    null ids or without words are left out; repeated items count once. An empty
+    benchmark gives no hits (and counts no words: ``n_words`` is null), an empty
+    table of documents no rows.
     """
-    added = ("n_words", "hit_spans", "items")
-    names = [c for c in docs.columns if c not in added]
+    added = state_names(docs.columns)
+    names = docs.columns
     out = docs.select(
         *(F.col(f"`{c}`") for c in names),
-        F.lit(None).cast("long").alias("n_words"),
-        F.lit(b"").alias("hit_spans"),
-        F.array().cast("array<string>").alias("items"),
+        F.lit(None).cast("long").alias(added[0]),
+        F.lit(b"").alias(added[1]),
+        F.array().cast("array<string>").alias(added[2]),
     )
-    schema = T.StructType([*docs.select(*(F.col(f"`{c}`") for c in names)).schema.fields, *out.schema.fields[-3:]])
-    for f in schema.fields:
-        f.nullable = True
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema.fields])
     for block in blocks_of(benchmark, window, block_bytes):
         vocabulary: dict[int, set[tuple]] = defaultdict(set)
         for joined, _ in block:
@@ -202,6 +211,12 @@ def find_contamination(
     return out
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, whole, that hold no window of the benchmark."""
+    items = state_names(docs.columns)[2]
+    return find_contamination(docs, benchmark, **options).where(F.size(F.col(items)) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated.
 

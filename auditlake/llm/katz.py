@@ -36,6 +36,8 @@ from auditlake.llm.common import crc_of_id, materialize, slices, texts_utf8
 #: Local ids of the end of a text and of the history before its first word.
 END, START = 0, 1
 ADDED = 0.1
+#: Stands for a null doc_id in a chunk.
+NO_ID = -(1 << 63)
 TOP = 5
 
 
@@ -133,7 +135,7 @@ def encode(docs: DataFrame, chunk_tokens: int, held_out: tuple[int, int]) -> Dat
                     words = text.lower().split() if text else []
                     tokens.append(np.fromiter((*map(ids.__getitem__, words), END), np.uint32, len(words) + 1))
                     lengths.append(len(words) + 1)
-                    doc_ids.append(-1 if doc is None else doc)
+                    doc_ids.append(NO_ID if doc is None else doc)
                     trains.append(train)
                     held += len(words) + 1
                     if held >= chunk_tokens:
@@ -338,7 +340,7 @@ def score(docs: DataFrame, *, chunk_tokens: int = 1_000_000, held_out: tuple[int
         known, base = counts > 0, np.log10(model.base(counts))
         at = chunk.starts
         sums = [np.add.reduceat(x, at) for x in (known[chunk.tokens].astype(np.int64), base[chunk.tokens], p)]
-        docs = pa.array(chunk.docs, mask=chunk.docs < 0) if (chunk.docs < 0).any() else pa.array(chunk.docs)
+        docs = pa.array(chunk.docs, mask=chunk.docs == NO_ID)
         n = pa.array(np.full(len(chunk.docs), model.tokens, np.int64))
         return pa.table([docs, pa.array(chunk.train == 0), pa.array(chunk.lengths), pa.array(sums[0]), n, pa.array(sums[1]), pa.array(sums[2])], names=names)
 

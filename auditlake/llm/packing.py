@@ -32,13 +32,13 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, e
     """doc_id, piece, start, length, ids_crc32 of every piece; a null text is empty and has the end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = encoder(tokenizer).ids, np.array([end_id], "<u4").tobytes()
+        ids_of, end = encoder(tokenizer).ids_of_all, np.array([end_id], "<u4").tobytes()
         size = 4 * capacity
         for batch in batches:
             for part in slices(batch):
                 rows: list[tuple] = []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = (ids_of(text) if text else b"") + end
+                for doc, ids in zip(part.column(0).to_pylist(), ids_of(part.column(1).to_pylist()), strict=True):
+                    ids += end
                     rows += [(doc, k, k * capacity, min(size, len(ids) - k * size) // 4, zlib.crc32(ids[k * size : (k + 1) * size])) for k in range(-(-len(ids) // size))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 

@@ -10,6 +10,9 @@ certain (special tokens, rare control characters) go to the library whole.
 from __future__ import annotations
 
 import re
+from array import array
+
+import numpy as np
 
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: White-space runs but for their last character; then a word with the blank before it.
@@ -19,45 +22,118 @@ _ODD = re.compile("[\x1c-\x1f᠎​﻿]")
 _RUN = re.compile(rf" (?:[{_SPACE}]|\Z)")
 
 
+_MARKS = ".,;:!?"
+
+
 class _Words(dict):
     """Little-endian 32-bit ids of words, in two generations of bounded size."""
 
-    def __init__(self, encode, before: str, most: int) -> None:
-        self.encode, self.before, self.most, self.old = encode, before, most, {}
+    def __init__(self, make, most: int) -> None:
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, word: str) -> bytes:
         if (ids := self.old.get(word)) is None:
-            ids = self.encode(self.before + word)
+            ids = self.make(word)
         if len(word) <= 64:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[word] = ids
+            self.put(word, ids)
         return ids
 
+    def put(self, word: str, ids: bytes) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+
+
+def _latin(word: str) -> bool:
+    """Whether lower case is a matter of each character alone, and composing changes none."""
+    return word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)
+
 
 class WordEncoder:
     """Encodes texts as the tokenizers library does with add_special_tokens=False."""
 
     def __init__(self, path: str, most: int = 400_000) -> None:
-        import numpy as np
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.whole = lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         #: A byte-level vocabulary keeps blanks; one with a normalizer and word ends drops them.
         self.keeps_blanks = tokenizer.normalizer is None
-        self.plain = _Words(self.whole, "", most // 4 if self.keeps_blanks else most)
-        self.blanked = _Words(self.whole, " ", most)
+        pieces = tokenizer.get_vocab()
+        #: Whether an id ends a word (of a vocabulary with word ends) or starts one after a blank (of a byte-level one).
+        self.edge = np.zeros(max(pieces.values()) + 1, bool)
+        self.edge[[k for t, k in pieces.items() if (t.startswith("\u0120") if self.keeps_blanks else t.endswith("</w>"))]] = True
+        self.plain = _Words(self._plain, most // 4 if self.keeps_blanks else most)
+        self.blanked = _Words(self._blanked, most)
+
+    def _plain(self, word: str) -> bytes:
+        return self._make("", word, self.plain)
+
+    def _blanked(self, word: str) -> bytes:
+        return self._make(" ", word, self.blanked)
+
+    def _make(self, before: str, word: str, known: _Words) -> bytes:
+        """A word that is new: from parts that are known, where the library is sure to split there."""
+        if self.keeps_blanks and word.split() != [word]:
+            parts = _WITH_BLANK.findall(before + word)
+            if len(parts) > 1:
+                return b"".join(self.blanked[p[1:]] if p[0] == " " and len(p) > 1 else self.plain[p] for p in parts)
+        stem = word.rstrip(_MARKS)
+        if stem and stem != word and stem[-1] < "\u0250" and stem[-1].isalpha() and stem[-1] != "\u0130":  # in lower case that ends in a mark
+            return known[stem] + self.plain[word[len(stem) :]]
+        if not self.keeps_blanks and (low := word.lower()) != word and _latin(word):
+            return known[low]
+        return self.whole(before + word)
+
+    def _learn(self, words: set[str]) -> None:
+        """Encodes new words of Latin letters many at a time; the ids' edges tell which belong to which word."""
+        known, mark = (self.blanked, " ") if self.keeps_blanks else (self.plain, "")
+        new: set[str] = set()
+        for word in words:
+            if not word.isalpha():
+                word = word.rstrip(_MARKS)
+                if not word.isalpha():
+                    continue
+            if max(word) < "\u0250" and "\u0130" not in word and len(word) <= 64:
+                new.add(word if self.keeps_blanks else word.lower())
+        todo = [w for w in new if w not in known and w not in known.old]
+        for at in range(0, len(todo), 1000):
+            part = todo[at : at + 1000]
+            data = self.whole(mark + " ".join(part))
+            edges = np.flatnonzero(self.edge[np.frombuffer(data, "<u4")])
+            if len(edges) != len(part):
+                continue  # they are encoded one by one when they are met
+            cuts = [*(4 * edges).tolist(), len(data)] if self.keeps_blanks else [0, *(4 * edges + 4).tolist()]
+            for k, word in enumerate(part):
+                known.put(word, data[cuts[k] : cuts[k + 1]])
+
+    def ids_of_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; null is empty."""
+        split = [None if not t or self._odd(t) or (self.keeps_blanks and self._runs(t)) else t.split(" ") if self.keeps_blanks else t.split() for t in texts]
+        words = set().union(*(s for s in split if s))
+        known = self.blanked if self.keeps_blanks else self.plain
+        self._learn(words.difference(known.keys()))
+        get = known.__getitem__
+        if not self.keeps_blanks:
+            return [b"".join(map(get, s)) if s else self.ids(t or "") for s, t in zip(split, texts, strict=True)]
+        return [self.plain[s[0]] + b"".join(map(get, s[1:])) if s else self.ids(t or "") for s, t in zip(split, texts, strict=True)]
+
+    def _odd(self, text: str) -> bool:
+        return bool(_ODD.search(text)) or any(s in text for s in self.special)
+
+    @staticmethod
+    def _runs(text: str) -> bool:
+        return bool(_RUN.search(text)) or text[:1].isspace()
 
     def ids(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian 32-bit integers."""
-        if _ODD.search(text) or any(s in text for s in self.special):
+        if self._odd(text):
             return self.whole(text)
         if not self.keeps_blanks:
             return b"".join(map(self.plain.__getitem__, text.split()))
-        if _RUN.search(text) or text[:1].isspace():
+        if self._runs(text):
             return b"".join(map(self.plain.__getitem__, _WITH_BLANK.findall(text)))
         first, *rest = text.split(" ")
         return self.plain[first] + b"".join(map(self.blanked.__getitem__, rest)) if first else b""

@@ -30,6 +30,8 @@ from auditlake.llm.common import fresh_path, materialize, read_file, slices, wri
 from auditlake.llm.tokens import encoder
 
 MAGIC = b"WVM1"
+#: Stands for a null doc_id in a file.
+NO_ID = -(1 << 63)
 #: Bytes of a plane's block before compression, and tokens of a shard at most (a longer document has its own).
 BLOCK, SHARD_TOKENS = 1 << 15, 1 << 22
 
@@ -181,7 +183,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
-        ids_of, end = encoder(tokenizer).ids, np.array([end_id], "<u4").tobytes()
+        ids_of, end = encoder(tokenizer).ids_of_all, np.array([end_id], "<u4").tobytes()
         own: list[bytes] = []
         docs_in: list[int] = []
         rows: list[tuple] = []
@@ -198,13 +200,13 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int =
         held = 0
         for batch in batches:
             for piece in slices(batch):
-                for doc, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                    ids = (ids_of(text) if text else b"") + end
+                for doc, ids in zip(piece.column(0).to_pylist(), ids_of(piece.column(1).to_pylist()), strict=True):
+                    ids += end
                     if held and held + len(ids) // 4 > shard_tokens:
                         flush()
                         held = 0
                     own.append(ids)
-                    docs_in.append(-1 if doc is None else doc)
+                    docs_in.append(NO_ID if doc is None else doc)
                     held += len(ids) // 4
         flush()
         if rows:
@@ -216,10 +218,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int =
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files alone.
-
-    A doc_id written as null reads as -1.
-    """
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files alone."""
     # a row for each file: their sums over parts are small, those within a part come from a window of that part
     parts = manifest.groupBy("part").agg(F.sum("tokens").alias("part_tokens"))
     before = parts.select("part", (F.sum("part_tokens").over(Window.orderBy("part")) - F.col("part_tokens")).alias("part_start"))
@@ -234,7 +233,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(ids[b - n : b].astype("<u4")) for b, n in zip(ends.tolist(), shard.lengths.tolist(), strict=True)]
                 starts = start + ends - shard.lengths
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.doc_ids), pa.array(starts), pa.array(shard.lengths), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
+                    [pa.array(shard.doc_ids, mask=shard.doc_ids == NO_ID), pa.array(starts), pa.array(shard.lengths), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -34,11 +34,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a ten-word window of a benchmark item go."""
-    from auditlake.llm.decontam import find_contamination
+    from auditlake.llm.decontam import uncontaminated
 
     ship(spark)
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where("size(items) = 0").select(docs.columns)
+    return uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
