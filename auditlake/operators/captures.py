@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.js import slug_capture
+from auditlake.functions.js import js_or, slug_capture
+from auditlake.operators.lookup import enrich
+from auditlake.operators.normalize import impact_color
 
 #: Screenshot paths up to this many are compared by a broadcast; more are cut into blocks of this size.
 BLOCK_PATHS = 50_000
@@ -27,3 +29,31 @@ def link_captures(findings: DataFrame, captures: DataFrame) -> DataFrame:
     first = hits.groupBy("slug").agg(F.min_by("path", "pos").alias("capturePath"))
     keyed = findings.withColumn("slug", slug_capture(F.coalesce("pageUrl", F.lit(""))))
     return keyed.join(first, "slug", "left").drop("slug")
+
+
+def capture_meta(findings: DataFrame) -> DataFrame:
+    """What is stored beside each screenshot of findings (id, wcag, selector, impact, capturePath, pageUrl, source); rows without a page have none."""
+    c = F.col
+    named = findings.where(js_or(c("pageUrl")).isNotNull()).withColumn("criterio", js_or(c("wcag"), c("id"), "sin-id"))
+    return enrich(named, c("criterio")).select(
+        "criterio",
+        c("w_criterio").alias("criterio_wcag"),
+        c("w_principio").alias("principio"),
+        c("w_nivel").alias("nivel"),
+        c("w_resumen").alias("resumen"),
+        c("w_url").alias("url_wcag"),
+        js_or(c("selector"), "body").alias("selector"),
+        js_or(c("impact"), "serious").alias("impacto"),
+        impact_color(c("impact")).alias("color"),
+        "capturePath",
+        c("pageUrl").alias("url"),
+        js_or(c("source"), "sitemap").alias("origen"),
+    )
+
+
+def capture_counters(folded: DataFrame) -> DataFrame:
+    """One row: captured, skipped and errors of a fold's rows (captured, error)."""
+    failed = F.coalesce(F.col("error"), F.lit(False))
+    return folded.agg(
+        F.count_if(F.col("captured") & ~failed).alias("captured"), F.count_if(~F.col("captured")).alias("skipped"), F.count_if(F.col("captured") & failed).alias("errors")
+    )

@@ -35,6 +35,12 @@ def wanted(path: Column) -> Column:
     return ~contains_any(path, EXCLUDED) & ~path.endswith("urls.json")
 
 
+def _parses(text: Column) -> Column:
+    """Whether the whole text is one JSON value. The parser overlooks what follows a value, but not within brackets."""
+    within = [F.try_parse_json(F.concat(F.lit(a), text, F.lit(b))).isNotNull() for a, b in (("[", "]"), ('{"v":', "}"))]
+    return F.coalesce(F.try_parse_json(text).isNotNull() & within[0] & within[1], F.lit(False))
+
+
 def repair(text: Column) -> Column:
     """JSON text with glued objects, glued arrays, trailing commas or open arrays mended; valid text stays."""
     fixed = F.translate(text, "\n", "")
@@ -43,14 +49,14 @@ def repair(text: Column) -> Column:
     fixed = js_trim(F.regexp_replace(fixed, r",\s*\]", "]"))
     fixed = F.when(fixed.startswith("["), fixed).otherwise(F.concat(F.lit("["), fixed))
     fixed = F.when(fixed.endswith("]"), fixed).otherwise(F.concat(fixed, F.lit("]")))
-    return F.when(F.try_parse_json(text).isNotNull(), text).otherwise(fixed)
+    return F.when(_parses(text), text).otherwise(fixed)
 
 
 def elements(files: DataFrame, *, mend: bool = False) -> DataFrame:
     """path, idx and item (JSON text) of the elements of array files; others and broken ones give none. Nested arrays are flattened once if ``mend``."""
     text = repair(F.col("text")) if mend else F.col("text")
     # the path of files that are not arrays is skipped, as is text that does not parse
-    whole = F.when(F.schema_of_variant(F.try_parse_json(text)).startswith("ARRAY"), F.try_variant_get(F.try_parse_json(text), "$", "array<variant>"))
+    whole = F.when(_parses(text) & F.schema_of_variant(F.try_parse_json(text)).startswith("ARRAY"), F.try_variant_get(F.try_parse_json(text), "$", "array<variant>"))
     rows = files.select("path", F.posexplode(whole).alias("idx", "v"))
     if mend:
         nested = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
