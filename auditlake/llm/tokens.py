@@ -1,28 +1,39 @@
 """Whole-text encoding with a public tokenizer, one distinct word at a time.
 
 The tokenizers library splits a text at white space before it merges pieces,
-so a text's ids are those of its words in turn. Encoding each distinct word
-once and keeping the ids in a bounded dictionary gives exactly the library's
-ids at a fraction of its time. Texts for which the split by words is not
-certain (special tokens, rare control characters) go to the library whole.
+so a text's ids are those of its words in turn. Each distinct word is encoded
+once, many new words in one call with a mark between them, and its ids stay in
+a dictionary of bounded size; this gives exactly the library's ids at a
+fraction of its time. A byte-level vocabulary gives a blank to the word after
+it and a line break an id of its own; one with word ends drops both. Texts for
+which the split by words is not certain (runs of blanks, other white space,
+special tokens) go to the library whole.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import string
 from array import array
 
 import numpy as np
 
-_SPACE = "\t-\r \x85\xa0  -     　"
-#: White-space runs but for their last character; then a word with the blank before it.
-_WITH_BLANK = re.compile(rf"[{_SPACE}]+(?![^{_SPACE}])| ?[^{_SPACE}]+|[{_SPACE}]")
-_ODD = re.compile("[\x1c-\x1f᠎​﻿]")
-#: A blank that does not stand alone between two words.
-_RUN = re.compile(rf" (?:[{_SPACE}]|\Z)")
+#: Characters that libraries disagree on whether they are white space.
+_UNSURE = "᠎​﻿"
+_ODD_CHARACTER = re.compile(rf"[^\S \n]|[{_UNSURE}]")
+_ODD_BLANKS = re.compile(rf"[^\S \n]|\s\s|\A\s|\s\Z|[{_UNSURE}]")
+#: Longer words are not kept.
+_LONG = 64
 
 
-_MARKS = ".,;:!?"
+def _byte_letters() -> dict[int, int]:
+    """The characters that byte-level vocabularies write bytes with: printable ones as they are, the rest from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in own} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in own)}
+
+
+_BYTES = _byte_letters()
 
 
 class _Words(dict):
@@ -33,110 +44,129 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         if (ids := self.old.get(word)) is None:
-            ids = self.make(word)
-        if len(word) <= 64:
-            self.put(word, ids)
+            return self.make(word)
+        self.add([word], [ids])
         return ids
 
-    def put(self, word: str, ids: bytes) -> None:
-        if len(self) >= self.most:
+    def add(self, words: list[str], ids: list[bytes]) -> None:
+        if len(self) + len(words) > self.most:
             self.old = dict(self)
             self.clear()
-        self[word] = ids
-
-
-def _latin(word: str) -> bool:
-    """Whether lower case is a matter of each character alone, and composing changes none."""
-    return word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)
+        self.update(zip(words, ids, strict=True))
 
 
 class WordEncoder:
     """Encodes texts as the tokenizers library does with add_special_tokens=False."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.whole = lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        # without character offsets, which nobody reads
+        self.whole = lambda text: array("I", tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
         #: A byte-level vocabulary keeps blanks; one with a normalizer and word ends drops them.
         self.keeps_blanks = tokenizer.normalizer is None
-        pieces = tokenizer.get_vocab()
-        #: Whether an id ends a word (of a vocabulary with word ends) or starts one after a blank (of a byte-level one).
-        self.edge = np.zeros(max(pieces.values()) + 1, bool)
-        self.edge[[k for t, k in pieces.items() if (t.startswith("\u0120") if self.keeps_blanks else t.endswith("</w>"))]] = True
-        self.plain = _Words(self._plain, most // 4 if self.keeps_blanks else most)
-        self.blanked = _Words(self._blanked, most)
-
-    def _plain(self, word: str) -> bytes:
-        return self._make("", word, self.plain)
-
-    def _blanked(self, word: str) -> bytes:
-        return self._make(" ", word, self.blanked)
-
-    def _make(self, before: str, word: str, known: _Words) -> bytes:
-        """A word that is new: from parts that are known, where the library is sure to split there."""
-        if self.keeps_blanks and word.split() != [word]:
-            parts = _WITH_BLANK.findall(before + word)
-            if len(parts) > 1:
-                return b"".join(self.blanked[p[1:]] if p[0] == " " and len(p) > 1 else self.plain[p] for p in parts)
-        stem = word.rstrip(_MARKS)
-        if stem and stem != word and stem[-1] < "\u0250" and stem[-1].isalpha() and stem[-1] != "\u0130":  # in lower case that ends in a mark
-            return known[stem] + self.plain[word[len(stem) :]]
-        if not self.keeps_blanks and (low := word.lower()) != word and _latin(word):
-            return known[low]
-        return self.whole(before + word)
-
-    def _learn(self, words: set[str]) -> None:
-        """Encodes new words of Latin letters many at a time; the ids' edges tell which belong to which word."""
-        known, mark = (self.blanked, " ") if self.keeps_blanks else (self.plain, "")
-        new: set[str] = set()
-        for word in words:
-            if not word.isalpha():
-                word = word.rstrip(_MARKS)
-                if not word.isalpha():
-                    continue
-            if max(word) < "\u0250" and "\u0130" not in word and len(word) <= 64:
-                new.add(word if self.keeps_blanks else word.lower())
-        todo = [w for w in new if w not in known and w not in known.old]
-        for at in range(0, len(todo), 1000):
-            part = todo[at : at + 1000]
-            data = self.whole(mark + " ".join(part))
-            edges = np.flatnonzero(self.edge[np.frombuffer(data, "<u4")])
-            if len(edges) != len(part):
-                continue  # they are encoded one by one when they are met
-            cuts = [*(4 * edges).tolist(), len(data)] if self.keeps_blanks else [0, *(4 * edges + 4).tolist()]
-            for k, word in enumerate(part):
-                known.put(word, data[cuts[k] : cuts[k + 1]])
-
-    def ids_of_all(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; null is empty."""
-        split = [None if not t or self._odd(t) or (self.keeps_blanks and self._runs(t)) else t.split(" ") if self.keeps_blanks else t.split() for t in texts]
-        words = set().union(*(s for s in split if s))
-        known = self.blanked if self.keeps_blanks else self.plain
-        self._learn(words.difference(known.keys()))
-        get = known.__getitem__
-        if not self.keeps_blanks:
-            return [b"".join(map(get, s)) if s else self.ids(t or "") for s, t in zip(split, texts, strict=True)]
-        return [self.plain[s[0]] + b"".join(map(get, s[1:])) if s else self.ids(t or "") for s, t in zip(split, texts, strict=True)]
+        #: Stands between the words of a call; its single id shows where each ends.
+        self.mark = "\n" if self.keeps_blanks else "~"
+        found = np.frombuffer(self.whole(self.mark), "<u4")
+        self.mark_id = int(found[0]) if len(found) == 1 else None
+        self.known = _Words(self._alone, most)
+        self.tails = _Words(self.whole, 10_000)
+        self.pieces = tokenizer.model.tokenize
+        self.before = chr(_BYTES[32]) if self.keeps_blanks else ""
+        probes = ["Probe", "l\u00e4nger", "\u00d1and\u00fa"]
+        #: Whether words of Latin letters, which are never split, may go straight to the vocabulary's merges.
+        self.direct = all(self._letters(w if self.keeps_blanks else w.lower()) == self._alone(w) for w in probes)
+
+    def _letters(self, word: str) -> bytes:
+        """A word of Latin letters."""
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+        return array("I", [t.id for t in self.pieces(self.before + mapped)]).tobytes()
+
+    def _alone(self, word: str) -> bytes:
+        """A word that was not learned, being long or holding the mark; of a byte-level vocabulary with the blank or break before it."""
+        return self.whole(word if not self.keeps_blanks or word[0] == "\n" else " " + word)
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes new words, many in a call, each without the signs at its end, which are pieces of their own after a letter or digit."""
+        if self.mark_id is None:
+            return
+        known, old, blanks, mark = self.known, self.known.old, self.keeps_blanks, self.mark
+        again, heads, tailed = [], set(), []
+        for w in words:
+            if w in old:
+                again.append(w)
+            elif w and len(w) <= _LONG and (blanks or mark not in w):
+                head = w.rstrip(string.punctuation)
+                # in lower case or composed form a letter beyond these may end in a mark, which would join the signs
+                if head and head[-1].isalnum() and (blanks or (head[-1] < "\u0250" and head[-1] != "\u0130")):
+                    if not blanks and (head.isascii() or (max(head) < "\u0250" and "\u0130" not in head)):
+                        head = head.lower()
+                    if head not in known:
+                        if head in old:
+                            again.append(head)
+                        else:
+                            heads.add(head)
+                    if head != w:
+                        tailed.append((w, head, w[len(head) :]))
+                else:
+                    heads.add(w)
+        found = {w: old[w] for w in again}
+        todo = []
+        for w in heads:
+            if self.direct and w.isalpha() and (w.isascii() or max(w) < "\u0250") and (blanks or w.islower()):
+                found[w] = self._letters(w)
+            else:
+                todo.append(w)
+        for at in range(0, len(todo), 2000):
+            part = todo[at : at + 2000]
+            data = self.whole("".join([w if w[0] == mark else f"{mark} {w}" for w in part]) if blanks else f" {mark} ".join([*part, ""]))
+            ends = np.flatnonzero(np.frombuffer(data, "<u4") == self.mark_id) * 4
+            if len(ends) != len(part):
+                continue  # they are encoded one by one where they are met
+            cuts = [*ends.tolist(), len(data)]
+            if blanks:
+                found.update((w, data[a if w[0] == mark else a + 4 : b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
+            else:
+                found.update((w, data[a + 4 : b]) for w, a, b in zip(part, [-4, *cuts], cuts[:-1], strict=False))
+        tails = self.tails
+        for w, head, tail in tailed:
+            if (ids := found.get(head) or known.get(head)) is not None:
+                if tail not in tails:
+                    tails.add([tail], [tails[tail]])
+                found[w] = ids + tails[tail] if tail else ids
+        known.add(list(found), list(found.values()))
+
+    def _split(self, text: str | None) -> list[str]:
+        """Words between single blanks; of a byte-level vocabulary a word that starts a line has the break before it, the first one too."""
+        if not text:
+            return []
+        if self.keeps_blanks:
+            return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+        return text.replace("\n", " ").split(" ")
 
     def _odd(self, text: str) -> bool:
-        return bool(_ODD.search(text)) or any(s in text for s in self.special)
-
-    @staticmethod
-    def _runs(text: str) -> bool:
-        return bool(_RUN.search(text)) or text[:1].isspace()
-
-    def ids(self, text: str) -> bytes:
-        """The ids of ``text`` as little-endian 32-bit integers."""
-        if self._odd(text):
-            return self.whole(text)
-        if not self.keeps_blanks:
-            return b"".join(map(self.plain.__getitem__, text.split()))
-        if self._runs(text):
-            return b"".join(map(self.plain.__getitem__, _WITH_BLANK.findall(text)))
-        first, *rest = text.split(" ")
-        return self.plain[first] + b"".join(map(self.blanked.__getitem__, rest)) if first else b""
+        return bool((_ODD_BLANKS if self.keeps_blanks else _ODD_CHARACTER).search(text)) or any(s in text for s in self.special)
+
+    def _strange(self, words: str) -> bool:
+        return bool(_ODD_CHARACTER.search(words)) or any(s in words for s in self.special)
+
+    def ids_of_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers; null is empty."""
+        split = [self._split(t) for t in texts]
+        words, known = set().union(*split), self.known
+        new = [w for w in words if w not in known]
+        # words that hold odd characters are never kept, so they are always new
+        odd = self._strange("\n".join(new))
+        careful = odd or (self.keeps_blanks and ("" in words or "\n" in words)) or any(" " in s for s in self.special)
+        whole = [careful and bool(t) and self._odd(t) for t in texts]
+        self._learn([w for w in new if w != "\n" and not self._strange(w)] if careful else new)
+        get, skip = known.__getitem__, 4 if self.keeps_blanks else 0
+        if not self.keeps_blanks and "" not in known:
+            known.add([""], [b""])
+        return [b"" if not t else self.whole(t) if w else b"".join(map(get, s))[skip:] for t, s, w in zip(texts, split, whole, strict=True)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
