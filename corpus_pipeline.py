@@ -22,14 +22,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays.
+    """Of each group of near-duplicates the row with the smallest doc_id stays.
 
-    Shingles of five words; fingerprints at three bits or fewer are linked.
+    Shingles of five words; all pairs of Jaccard similarity 0.8 or more are linked.
     """
-    from auditlake.llm.simhash import survivors
+    from auditlake.llm.jaccard import one_of_each
 
     ship(spark)
-    return survivors(docs, shingle=5)
+    return one_of_each(docs, shingle=5, threshold=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
