@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -200,10 +199,21 @@ class Model:
         return out
 
 
-def _family(text: str | None) -> int:
-    """The smallest hash of the text's three-word shingles, which copies and near copies mostly share."""
-    words = text.lower().split() if text else []
-    return min((zlib.crc32(" ".join(w).encode()) for w in zip(words, words[1:], words[2:], strict=False)), default=zlib.crc32(" ".join(words).encode()))
+def families(rows: DataFrame, *, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """text and toxic of one of ``rows`` (doc_id, text, toxic) for each label of each group of near copies.
+
+    Groups are the components of all pairs whose word shingles have a Jaccard
+    similarity of ``threshold`` or more; a passage in common folds nothing.
+    """
+    from auditlake.llm.jaccard import similar_sets, with_set
+
+    read = with_set(rows.select("doc_id", "text", "toxic"), shingle)
+    nodes = materialize(read.select("text", "__sid").dropDuplicates(["__sid"]), "sample")
+    roots = similar_sets(nodes, shingle=shingle, threshold=threshold).withColumnRenamed("u", "__sid")
+    own = read.select("doc_id", "toxic", "__sid").join(roots, "__sid", "left").withColumn("root", F.coalesce("root", "__sid"))
+    first = own.groupBy("root", "toxic").agg(F.min(F.struct("doc_id", "__sid")).alias("first"))
+    first = materialize(first.select(F.col("first.__sid").alias("__sid"), "toxic"), "families")
+    return nodes.join(F.broadcast(first), "__sid").select("text", "toxic")  # at most a row for each of ``rows``
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = 50_000, z: float = 1.64, held_out: tuple[int, int] = (4, 2)) -> Model:
@@ -229,14 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = 50_000, z: floa
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = plain.join(F.broadcast(chosen), "doc_id")  # at most train_rows pairs of numbers
 
-    def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(map(_family, b.column(1).to_pylist()), pa.int64())], ["doc_id", "toxic", "family"])
-
-    kinds = dict(rows.dtypes)
-    first = rows.select("doc_id", "text", "toxic").mapInArrow(families, f"doc_id long, toxic {kinds['toxic']}, family long")
-    first = first.groupBy("family", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic")
-    texts = plain.join(F.broadcast(materialize(first, "families")), "doc_id").select("text", "toxic")
+    texts = families(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(counts)
