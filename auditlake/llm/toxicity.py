@@ -32,6 +32,8 @@ LEET = {
 _SPLIT = re.compile(r"[\s.,;:?\"“”«»)\]}>/\\]+")
 _SPACED = re.compile(r"(?<![^\s])(?:[^\W_]|[@$!|+€£])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|+€£])){3,}(?![^\s.,;:!?])")
 _DISGUISED = re.compile(r"(?=.*[a-z])(?=.*[0-9@$!|+€£*_\-]).*[a-z@$!|+0-9].*|(?=.*([a-z])\1\1).*|(?:[0-9@$!|+]+[a-z]+)")
+_WIDE = re.compile(r"[ .\-_*]{2}")
+_GAPS = str.maketrans("", "", " .-_*")
 _EDGES = "'`´’‘-–—_*~#&=%^<([{\""
 _A, _OTHER = ord("a"), 27  # 0 is a word's edge, 1 to 26 are letters
 SIGNS = 28
@@ -83,8 +85,8 @@ class Deobfuscator:
     def decode(self, word: str) -> str:
         """The likeliest spelling of ``word`` (lower case, no white space but between single letters)."""
         log = self.log
-        # state: the last two signs; value: cost, the letters so far
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # state: the last two signs; value: cost, the letters so far as (all before, last)
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for at, c in enumerate(word):
             options: list[tuple[str, float]] = []
             if "a" <= c <= "z":
@@ -96,18 +98,23 @@ class Deobfuscator:
                 if c in " .-_*":
                     options.append(("", self.DROP_COST))
                 options.append((c, self.KEEP_COST if c in LEET or not c.isalpha() else 0.0))
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, done) in states.items():
                 for x, channel in options:
                     if x:
                         s = _code(x)
-                        key, value = (b, s), (cost + channel - log[a][b][s], done + x)
+                        key, value = (b, s), (cost + channel - log[a][b][s], (done, x))
                     else:
                         key, value = (a, b), (cost + channel, done)
-                    if key not in after or value < after[key]:
+                    if key not in after or value[0] < after[key][0]:
                         after[key] = value
-            states = dict(sorted(after.items(), key=lambda kv: kv[1])[:64])
-        return min((cost - log[a][b][0], done) for (a, b), (cost, done) in states.items())[1]
+            states = dict(sorted(after.items(), key=lambda kv: kv[1][0])[:64]) if len(after) > 64 else after
+        done = min(((cost - log[a][b][0], done) for (a, b), (cost, done) in states.items()), key=lambda x: x[0])[1]
+        out = []
+        while done:
+            done, x = done
+            out.append(x)
+        return "".join(reversed(out))
 
 
 def spaced_runs(text: str) -> list[str]:
@@ -136,16 +143,29 @@ class Restorer:
         out: set[str] = set()
         for word in parts_of(token):
             out |= features_of(word)
-            if len(word) <= 40 and _DISGUISED.fullmatch(word):
+            if _DISGUISED.fullmatch(word):
                 out |= features_of(self.deobfuscator.decode(word))
         dotted = token.lower().strip(".,;:!?\"'")
-        if 7 <= len(dotted) <= 40 and _SPACED.fullmatch(dotted):
-            out |= features_of(self.deobfuscator.decode(dotted))
+        if len(dotted) >= 7 and _SPACED.fullmatch(dotted):
+            out |= self.spaced(dotted)
         return out
 
-    def spaced(self, run: str) -> set[str]:
-        run = run.lower()
-        return set().union(*(features_of(self.deobfuscator.decode(run[at : at + 80])) for at in range(0, len(run), 80)))
+    def spaced(self, run: str, longest: int = 32) -> set[str]:
+        """Features of words anywhere in a run of single letters, which does not show where they begin.
+
+        Words of four letters or more, up to ``longest``, and word beginnings are
+        taken at every letter; shorter words only between wider gaps.
+        """
+        run, out = run.lower(), set()
+        for part in {run, *_WIDE.split(run)}:
+            letters = self.deobfuscator.decode(part).translate(_GAPS)
+            if letters:
+                out |= features_of(letters)
+            if part == run:
+                for k in range(len(letters) - 3):
+                    out.update(letters[k : k + n] for n in range(4, min(longest, len(letters) - k) + 1))
+                    out.update(letters[k : k + n] + "*" for n in (4, 5, 6) if k + n < len(letters))
+        return out
 
 
 def lower_bound(hits: int, n: int, z: float) -> float:
@@ -189,12 +209,12 @@ class Model:
         if self._cache is None:
             self._restorer, get, base = Restorer(self.counts), self.lexicon.get, self.base
             self._cache = _Cache(lambda token: max((get(f, base) for f in self._restorer.features(token)), default=base))
-        value, out = self._cache.__getitem__, []
+        value, out, longest = self._cache.__getitem__, [], max(map(len, self.lexicon), default=0)
         for raw in texts:
             text = raw.decode("utf-8", "replace") if raw else ""
             best = max(map(value, set(text.split())), default=self.base)
             for run in spaced_runs(text):
-                best = max([best, *(self.lexicon.get(f, self.base) for f in self._restorer.spaced(run))])
+                best = max([best, *(self.lexicon.get(f, self.base) for f in self._restorer.spaced(run, longest))])
             out.append(best)
         return out
 

@@ -17,3 +17,31 @@ def test_only_near_copies_are_folded(spark):
     got = [(r["text"], r["toxic"]) for r in families(rows).collect()]
     assert sorted(t for t, _ in got if t.startswith("this")) == sorted(texts)
     assert sorted(x for t, x in got if not t.startswith("this")) == [0, 1]
+
+
+def test_words_anywhere_in_spaced_runs(spark):
+    from auditlake.llm.common import table
+    from auditlake.llm.toxicity import Model, char_counts
+
+    model = Model(char_counts(table(spark, "/root/testdata/sf0.01", "documents")), {"idiot": 0.9, "moro*": 0.8}, 0.01)
+    found = {
+        "y o u i d i o t": 0.9,
+        "a i d i o t": 0.9,
+        "y o u  i d i o t  h e r e": 0.9,
+        f"{'x ' * 38}i d i o t": 0.9,
+        f"{'x ' * 500}1 d 1 0 t {'x ' * 500}end": 0.9,
+        "y.o.u.m.o.r.o.n.s": 0.8,
+        ".".join("x" * 40 + "idiot"): 0.9,
+        "x" * 40 + "-0-" + "x" * 40: 0.01,
+        "y o u i d o l": 0.01,
+    }
+    assert dict(zip(found, model.scores(t.encode() for t in found), strict=True)) == found
+
+
+def test_long_words_are_restored(spark):
+    from auditlake.llm.common import table
+    from auditlake.llm.toxicity import Restorer, char_counts
+
+    restorer = Restorer(char_counts(table(spark, "/root/testdata/sf0.01", "documents")))
+    assert "idiot*" not in restorer.features("1d10t") and "idio*" in restorer.features("1d10t" + "s" * 1 + "a" * 45)
+    assert len(restorer.deobfuscator.decode("a b " * 5000)) >= 10_000
