@@ -31,7 +31,7 @@ def _nth(values: list[str], index: str) -> str:
 
 
 def _translated(text: str) -> str:
-    for phrase, wording in zip(normalize._PHRASES, normalize._WORDINGS, strict=True):
+    for phrase, wording in normalize.PHRASES:
         text = f"regexp_replace({text}, {_q(phrase)}, {_q(wording)}, 'gi')"
     return f"trim({text})"
 
