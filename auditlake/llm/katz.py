@@ -1,19 +1,26 @@
 """Language-model scores by Katz backoff over bigrams.
 
 Documents are encoded once into chunks of about ``chunk_tokens`` tokens, each
-with its own list of distinct words; the chunks are a table in the shared
-folder. A chunk sends each of its distinct n-grams once, with its count, as
-sorted and compressed arrays to the bucket of the n-gram's hash, and gets back
-the corpus counts in the same order; so no n-gram, however frequent, is more
-than one number from each chunk, and nothing is gathered on the driver but
-count-of-counts.
+with its own list of distinct words; a chunk is a file in the shared folder. A
+chunk sends each of its distinct n-grams once, with its count, as sorted and
+compressed arrays to the bucket of the n-gram's hash: a range of one order's
+hashes, about ``bucket_tokens`` of them however large the corpus is. A bucket's
+task sums the counts, writes them as that range of the model's table, and
+answers the chunks in the order of their keys; so no n-gram, however frequent,
+is more than one number from each chunk, and nothing is gathered on the driver
+but count-of-counts.
 
 Counts r of 1 to ``top`` are discounted by Good-Turing as Katz gives it. Of
 each n-gram one chunk is the owner and adds its discounted mass and lower-order
 probability to its history's sums, from which follows the backoff weight that
-makes every history's distribution sum to one. Scoring is recursive per token:
-the discounted bigram if it was seen in training, else the history's weight
-times the unigram, whose freed mass is the unknown word's.
+makes every history's distribution sum to one; weights are a table as well.
+Scoring is recursive per token: the discounted bigram if it was seen in
+training, else the history's weight times the unigram, whose freed mass is the
+unknown word's.
+
+The model's folder holds ``counts`` (by role and order) and ``weights``, both
+by bucket, and ``sums``. An exchange has a row for each chunk and bucket that
+share keys, so far larger corpora want larger chunks and buckets.
 
 Words and bigrams are told apart by 64-bit hashes.
 """
@@ -28,10 +35,10 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import crc_of_id, materialize, slices, texts_utf8
+from auditlake.llm.common import crc_of_id, fresh_path, materialize, read_file, slices, texts_utf8, write_file
 
 #: Local ids of the end of a text and of the history before its first word.
 END, START = 0, 1
@@ -114,8 +121,8 @@ class Chunk:
         return before[order], word[order], keys[order], counts[order], place[own]
 
 
-def encode(docs: DataFrame, chunk_tokens: int, held_out: tuple[int, int]) -> DataFrame:
-    """The table of chunks: chunk, blob, tokens."""
+def encode(docs: DataFrame, folder: str, chunk_tokens: int, held_out: tuple[int, int]) -> DataFrame:
+    """Writes chunks as files of ``folder``; returns the table of chunks: chunk, path, tokens."""
     mod, out = held_out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +133,9 @@ def encode(docs: DataFrame, chunk_tokens: int, held_out: tuple[int, int]) -> Dat
             digest = xxhash.xxh64_intdigest
             hashes = np.fromiter((digest(b"end", 1), digest(b"start", 2), *map(digest, ids)), np.uint64, len(ids) + 2)
             arrays = [(doc_ids, "<i8"), (lengths, "<i8"), (trains, "u1"), (hashes, "<u8"), (np.concatenate(tokens), "<u4")]
-            blob = _bundle([_squeeze(np.asarray(a, k)) for a, k in arrays])
-            return pa.RecordBatch.from_arrays([pa.array([part << 24 | made]), pa.array([blob], pa.binary()), pa.array([held], pa.int64())], ["chunk", "blob", "tokens"])
+            path = f"{folder}/{part:07d}-{made:06d}.chunk"
+            write_file(path, _bundle([_squeeze(np.asarray(a, k)) for a, k in arrays]))
+            return pa.RecordBatch.from_arrays([pa.array([part << 24 | made]), pa.array([path]), pa.array([held], pa.int64())], ["chunk", "path", "tokens"])
 
         for batch in batches:
             for rows in slices(batch):
@@ -146,69 +154,102 @@ def encode(docs: DataFrame, chunk_tokens: int, held_out: tuple[int, int]) -> Dat
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (F.pmod(crc_of_id("doc_id"), F.lit(mod)) != out).alias("train"))
-    return rows.mapInArrow(run, "chunk long, blob binary, tokens long")
+    return rows.mapInArrow(run, "chunk long, path string, tokens long")
+
 
+# Sums over the corpus. A row of an exchange is what one chunk has in one bucket,
+# a range of an order's hashes; order 3 are histories and their weights.
 
-# Sums over the corpus
+_DEALT, _DEALT_KINDS = "order int, bucket int, chunk long, path string, keys binary, vals binary", [pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
+_MET, _MET_KINDS = _DEALT + ", stats array<long>, role string", [*_DEALT_KINDS, pa.list_(pa.int64()), pa.string()]
+_DEALT_NAMES = ["order", "bucket", "chunk", "path", "keys", "vals"]
+_MET_NAMES = [*_DEALT_NAMES, "stats", "role"]
 
 
-def _deal(chunk: int, keys: np.ndarray, values: list[np.ndarray], bits: int) -> Iterator[tuple]:
-    """Rows (chunk, bucket, keys, values) of sorted keys; a bucket is the keys' first bits."""
+def _rows(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+
+def _deal(order: int, chunk: int, path: str, keys: np.ndarray, values: list[np.ndarray], bits: int) -> Iterator[tuple]:
+    """Rows of sorted keys by bucket, which is the keys' first bits."""
     edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
     edges = [0, *edges.tolist(), len(keys)]
     for bucket, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
         if a < b:
-            yield chunk, bucket, _squeeze(np.diff(keys[a:b], prepend=np.uint64(0))), _bundle([_squeeze(v[a:b]) for v in values])
+            yield order, bucket, chunk, path, _gaps(keys[a:b]), _bundle([_squeeze(v[a:b]) for v in values])
 
 
-def _rows(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+def _gaps(keys: np.ndarray) -> bytes:
+    return _squeeze(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_expand(data, "<u8"), dtype=np.uint64)
 
 
-_DEALT, _DEALT_KINDS = "chunk long, bucket int, keys binary, vals binary", [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-_BACK, _BACK_KINDS = "chunk long, bucket int, vals binary, stats array<long>", [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
-_DEALT_NAMES, _BACK_NAMES = ["chunk", "bucket", "keys", "vals"], ["chunk", "bucket", "vals", "stats"]
+class _Met:
+    """What all chunks have in a bucket, by key: chunks in order, so that a key's first owner is the smallest."""
 
+    def __init__(self, table: pa.Table, kinds: list[str]) -> None:
+        rows = sorted(zip(*(table.column(k).to_pylist() for k in ("chunk", "path", "keys", "vals")), strict=True))
+        self.order, self.bucket = table.column("order")[0].as_py(), table.column("bucket")[0].as_py()
+        self.owners = [r[:2] for r in rows]
+        parts = [_keys(r[2]) for r in rows]
+        self.ends = np.cumsum([len(x) for x in parts])
+        keys = np.concatenate(parts)
+        del parts
+        self.sorted = np.argsort(keys, kind="stable")
+        keys = keys[self.sorted]
+        self.new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        self.starts = np.flatnonzero(self.new)
+        self.keys = keys[self.starts]
+        self.values = [np.concatenate(v)[self.sorted] for v in zip(*([_expand(v, t) for v, t in zip(_unbundle(r[3]), kinds, strict=True)] for r in rows), strict=True)]
 
-def _met(table: pa.Table, kinds: list[str]):
-    """Rows of a bucket by chunk: chunk ids, ends of their parts, and over all: distinct keys, first places, inverse, values."""
-    rows = sorted(zip(*(table.column(k).to_pylist() for k in ("chunk", "keys", "vals")), strict=True))
-    parts = [np.cumsum(_expand(k, "<u8"), dtype=np.uint64) for _, k, _ in rows]
-    values = [[_expand(v, t) for v, t in zip(_unbundle(x), kinds, strict=True)] for *_, x in rows]
-    keys, first, inverse = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
-    ends = np.cumsum([len(p) for p in parts])
-    return [r[0] for r in rows], ends, keys, first, inverse, [np.concatenate(v) for v in zip(*values, strict=True)]
+    def sums(self) -> list[np.ndarray]:
+        return [np.add.reduceat(v.astype(v.dtype if v.dtype.kind == "f" else np.uint64), self.starts) for v in self.values]
+
+    def rows(self, answers: np.ndarray, kept: np.ndarray, stored: np.ndarray, stats: list[int] | None) -> pa.Table:
+        """Each chunk's answers in the order of its keys, and the model's own row of this bucket."""
+        back = np.empty_like(answers)
+        back[self.sorted] = answers
+        out = [(self.order, self.bucket, *o, None, _squeeze(x), None, "answer") for o, x in zip(self.owners, np.split(back, self.ends[:-1]), strict=True)]
+        out.append((self.order, self.bucket, None, None, _gaps(self.keys[kept]), _squeeze(stored[kept]), stats, "table"))
+        return pa.Table.from_batches([_rows(out, _MET_NAMES, _MET_KINDS)])
+
+    def each(self, values: np.ndarray) -> np.ndarray:
+        """Values of distinct keys for every row."""
+        return np.repeat(values, np.diff(self.starts, append=len(self.sorted)))
 
 
 def _sum_counts(table: pa.Table) -> pa.Table:
-    """Corpus counts, times two, plus one for the owner; and a row of count-of-counts."""
-    bucket = table.column("bucket")[0].as_py()
-    chunks, ends, keys, first, inverse, (counts,) = _met(table, ["<u4"])
-    total = np.bincount(inverse, weights=counts, minlength=len(keys)).astype(np.uint64)
-    back = total[inverse] * np.uint64(2)
-    back[first] += np.uint64(1)
-    rows = [(c, bucket, _squeeze(part), None) for c, part in zip(chunks, np.split(back, ends[:-1]), strict=True)]
-    stats = [int((total == r).sum()) for r in range(1, TOP + 2)]
-    rows.append((-1, bucket, None, [int((total > 0).sum()), int(total.sum()), *stats]))
-    return pa.Table.from_batches([_rows(rows, _BACK_NAMES, _BACK_KINDS)])
-
-
-def _sum_weights(table: pa.Table) -> pa.Table:
-    """Freed mass over what the unseen words' unigrams leave; negative where no mass was freed and one count is added."""
-    bucket = table.column("bucket")[0].as_py()
-    chunks, ends, keys, _, inverse, (freed, lower) = _met(table, ["<f8", "<f8"])
-    freed = np.bincount(inverse, weights=freed, minlength=len(keys))
-    left = np.maximum(1 - np.bincount(inverse, weights=lower, minlength=len(keys)), 1e-12)
-    back = np.where(freed > 1e-9, freed / left, -1 / left)[inverse]
-    return pa.Table.from_batches([_rows([(c, bucket, _squeeze(p), None) for c, p in zip(chunks, np.split(back, ends[:-1]), strict=True)], _BACK_NAMES, _BACK_KINDS)])
-
-
-def _exchange(dealt: DataFrame, summed, name: str) -> DataFrame:
-    return materialize(dealt.groupBy("bucket").applyInArrow(summed, _BACK), name)
-
-
-def _stats(back: DataFrame) -> list[int]:
-    rows = back.where("chunk = -1").select(F.posexplode("stats").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()
+    """Corpus counts; answers are twice the count, plus one for the owner."""
+    met = _Met(table, ["<u4"])
+    (total,) = met.sums()
+    stats = [int((total > 0).sum()), int(total.sum()), *(int((total == r).sum()) for r in range(1, TOP + 2))]
+    return met.rows(met.each(total) * np.uint64(2) + met.new.astype(np.uint64), total > 0, total, stats)
+
+
+def _sum_weights(unknown: float):
+    """Freed mass over what the unseen words' unigrams leave, at least the unknown word's; negative where no mass was freed and one count is added."""
+
+    def run(table: pa.Table) -> pa.Table:
+        met = _Met(table, ["<f8", "<f8"])
+        freed, lower = met.sums()
+        left = np.maximum(1 - lower, unknown)
+        weights = np.where(freed > 1e-9, freed / left, -1 / left)
+        return met.rows(met.each(weights), lower > 0, weights, None)
+
+    return run
+
+
+def _exchange(dealt: DataFrame, summed, path: str) -> DataFrame:
+    """The met buckets, as a table by role and order: answers to chunks, and the model's."""
+    dealt.groupBy("order", "bucket").applyInArrow(summed, _MET).write.partitionBy("role", "order").parquet(path)
+    return dealt.sparkSession.read.schema(_MET).parquet(path)
+
+
+def _stats(tables: DataFrame, order: int) -> list[int]:
+    rows = tables.where((F.col("role") == "table") & (F.col("order") == order)).select(F.posexplode("stats").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()
     return [r["n"] for r in rows] or [0] * (TOP + 3)
 
 
@@ -235,12 +276,22 @@ class Katz:
     """Probabilities from counts."""
 
     def __init__(self, unigrams: list[int], bigrams: list[int]) -> None:
+        self.unigrams, self.bigrams = unigrams, bigrams
         self.types, self.tokens = unigrams[0], unigrams[1]
         self.one, self.two = discounts(unigrams), discounts(bigrams)
         freed = sum((1 - self.one[r]) * r * unigrams[1 + r] for r in range(1, TOP + 1))
         self.total = self.tokens + (0 if freed > 1e-9 else 1)
         self.unknown = (freed if freed > 1e-9 else 1) / self.total
 
+    def save(self, spark: SparkSession, home: str, bits: int) -> None:
+        """Count-of-counts and the number of bits of a bucket, beside the tables."""
+        spark.createDataFrame([(bits, self.unigrams, self.bigrams)], "bits int, unigrams array<long>, bigrams array<long>").write.parquet(f"{home}/sums")
+
+    @staticmethod
+    def load(spark: SparkSession, home: str) -> tuple[Katz, int]:
+        row = spark.read.parquet(f"{home.rstrip('/')}/sums").first()
+        return Katz(list(row["unigrams"]), list(row["bigrams"])), row["bits"]
+
     @staticmethod
     def _kept(counts: np.ndarray, ratios: np.ndarray) -> np.ndarray:
         return counts * np.where(counts <= TOP, ratios[np.minimum(counts, TOP)], 1.0)
@@ -259,103 +310,146 @@ class Katz:
         return np.where(pairs > 0, seen, np.where(histories > 0, np.abs(weights) / np.maximum(below, 1), 1.0) * lower)
 
 
-def _joined(table: pa.Table) -> tuple[int, dict[int, list[bytes]]]:
-    """A chunk's rows of a union of tables: by kind, in order of their buckets."""
-    rows = sorted(zip(*(table.column(k).to_pylist() for k in ("kind", "bucket", "vals")), strict=True), key=lambda r: r[:2])
-    out: dict[int, list[bytes]] = {}
-    for kind, _, vals in rows:
-        out.setdefault(kind, []).append(vals)
-    return table.column("chunk")[0].as_py(), out
+def _answers(table: pa.Table, kinds: dict[int, str]) -> tuple[int, str, dict[int, np.ndarray]]:
+    """A chunk's number and path, and its answers by order, in the order of its sorted keys."""
+    rows = sorted(zip(*(table.column(k).to_pylist() for k in ("order", "bucket", "vals")), strict=True), key=lambda r: r[:2])
+    parts: dict[int, list[np.ndarray]] = {}
+    for order, _, vals in rows:
+        parts.setdefault(order, []).append(_expand(vals, kinds[order]))
+    return table.column("chunk")[0].as_py(), table.column("path")[0].as_py(), {k: np.concatenate(v) for k, v in parts.items()}
+
+
+def _by_word(order: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts by local word id; that of START is the number of training texts."""
+    out = np.empty(len(order), np.int64)
+    out[order] = counts
+    out[START] = out[END]
+    return out
+
+
+_SCORED_NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: Answers are counts times two, plus the owner's one (orders 1 and 2), and weights.
+_KINDS = {1: "<u8", 2: "<u8", 3: "<f8"}
+
+
+def _finish(model: Katz):
+    def run(table: pa.Table) -> pa.Table:
+        _, path, answers = _answers(table, _KINDS)
+        chunk = Chunk(read_file(path))
+        order = np.argsort(chunk.hashes)
+        counts = _by_word(order, (answers[1] >> np.uint64(1)).astype(np.int64))
+        before, word, _, _, place = chunk.bigrams()
+        beta = np.empty(len(counts))
+        beta[order] = answers[3]
+        seen = (answers[2] >> np.uint64(1)).astype(np.int64)
+        p = np.log10(model.bigram(seen, counts[before], counts[word], beta[before]))[place]
+        known, base = counts > 0, np.log10(model.base(counts))
+        sums = [np.add.reduceat(x, chunk.starts) for x in (known[chunk.tokens].astype(np.int64), base[chunk.tokens], p)]
+        docs = pa.array(chunk.docs, mask=chunk.docs == NO_ID)
+        n = pa.array(np.full(len(chunk.docs), model.tokens, np.int64))
+        return pa.table([docs, pa.array(chunk.train == 0), pa.array(chunk.lengths), pa.array(sums[0]), n, pa.array(sums[1]), pa.array(sums[2])], names=_SCORED_NAMES)
+
+    return run
+
+
+def _asked(chunks: DataFrame, pick, bits: int) -> DataFrame:
+    """What ``pick`` deals of each chunk: rows (order, keys, values)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for order, keys, values in pick(Chunk(read_file(path))):
+                    yield _rows(list(_deal(order, number, path, keys, values, bits)), _DEALT_NAMES, _DEALT_KINDS)
 
-def _counts(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    back = np.concatenate([_expand(x, "<u8") for x in parts])
-    return (back >> np.uint64(1)).astype(np.int64), (back & np.uint64(1)).astype(bool)
+    # few small rows that stand for a chunk's work each: dealt evenly
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return chunks.select("chunk", "path").repartition(parts).mapInArrow(run, _DEALT)
 
 
-def _lookups(chunk: Chunk, parts: dict[int, list[bytes]]):
-    """Word counts by local id (that of START being the number of training texts), bigrams, and their counts and owners."""
-    order, _, _ = chunk.words()
-    words = np.empty(len(order), np.int64)
-    words[order] = _counts(parts[1])[0]
-    words[START] = words[END]
-    return words, chunk.bigrams(), *_counts(parts[2])
+def _of_answers(tables: DataFrame) -> DataFrame:
+    return tables.where("role = 'answer'").select("order", "bucket", "chunk", "path", "vals")
 
 
-def score(docs: DataFrame, *, chunk_tokens: int = 1_000_000, held_out: tuple[int, int] = (10, 0), bucket_tokens: int = 200_000, model_path: str | None = None) -> DataFrame:
+def score(docs: DataFrame, *, chunk_tokens: int = 400_000, held_out: tuple[int, int] = (10, 0), bucket_tokens: int = 1_500_000, model_path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     The model learns from documents whose crc32(doc_id) mod held_out[0] is not
-    held_out[1]. Null and empty texts are an end token; a null doc_id trains as
-    empty text's crc32 says and comes back null; repeated rows count each time;
-    an empty table gives no rows; other columns are not read. ``model_path``
-    keeps the counts as tables by order and bucket (hashes of n-grams, sorted,
-    and counts, as ``_expand`` reads them).
+    held_out[1]. Null and empty texts are an end token; a text longer than
+    ``chunk_tokens`` is a chunk of its own; a null doc_id trains as empty text's
+    crc32 says and comes back null; repeated rows count each time; an empty table
+    gives no rows; other columns are not read. ``model_path`` is where the model's
+    tables go (else a new folder of the shared one); ``score_with`` scores other
+    documents by them.
     """
-    chunks = materialize(encode(docs, chunk_tokens, held_out), "chunks")
+    spark = docs.sparkSession
+    home = (model_path or fresh_path(spark, "katz")).rstrip("/")
+    chunks = materialize(encode(docs, fresh_path(spark, "chunks"), chunk_tokens, held_out), "chunk_list")
     tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
-    bits = min(16, max(6, (tokens // bucket_tokens).bit_length()))
-
-    def deal(pick):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for k in range(b.num_rows):
-                    keys, counts = pick(Chunk(b.column(1)[k].as_py()))
-                    yield _rows(list(_deal(b.column(0)[k].as_py(), keys, [counts.astype("<u4")], bits)), _DEALT_NAMES, _DEALT_KINDS)
-
-        return chunks.select("chunk", "blob").mapInArrow(run, _DEALT)
-
-    dealt_words, dealt_pairs = deal(lambda c: c.words()[1:]), deal(lambda c: c.bigrams()[2:4])
-    words, pairs = _exchange(dealt_words, _sum_counts, "words"), _exchange(dealt_pairs, _sum_counts, "pairs")
-    if model_path:
-        _keep(dealt_words, 1, model_path)
-        _keep(dealt_pairs, 2, model_path)
-    model = Katz(_stats(words), _stats(pairs))
-
-    def union(*more: DataFrame) -> DataFrame:
-        out = chunks.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.col("blob").alias("vals"))
-        for kind, back in enumerate(more, 1):
-            out = out.unionByName(back.where("chunk >= 0").select("chunk", F.lit(kind).alias("kind"), "bucket", "vals"))
-        return out.groupBy("chunk")
+    bits = max(6, (tokens // bucket_tokens).bit_length())
+
+    def grams(chunk: Chunk) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        _, hashes, counts = chunk.words()
+        yield 1, hashes, [counts.astype("<u4")]
+        _, _, hashes, counts, _ = chunk.bigrams()
+        yield 2, hashes, [counts.astype("<u4")]
+
+    counted = _exchange(_asked(chunks, grams, bits), _sum_counts, f"{home}/counts")
+    model = Katz(_stats(counted, 1), _stats(counted, 2))
+    model.save(spark, home, bits)
 
     def weigh(table: pa.Table) -> pa.Table:
-        number, parts = _joined(table)
-        chunk = Chunk(parts[0][0])
-        counts, (before, word, *_), seen, owned = _lookups(chunk, parts)
-        own = owned & (seen > 0)
+        number, path, answers = _answers(table, _KINDS)
+        chunk = Chunk(read_file(path))
+        order = np.argsort(chunk.hashes)
+        counts = _by_word(order, (answers[1] >> np.uint64(1)).astype(np.int64))
+        before, word, *_ = chunk.bigrams()
+        seen = (answers[2] >> np.uint64(1)).astype(np.int64)
+        own = (answers[2] & np.uint64(1)).astype(bool) & (seen > 0)
         freed = np.bincount(before[own], weights=seen[own] - model._kept(seen[own], model.two), minlength=len(counts))
         lower = np.bincount(before[own], weights=model.unigram(counts[word[own]]), minlength=len(counts))
-        order = np.argsort(chunk.hashes)
-        return pa.Table.from_batches([_rows(list(_deal(number, chunk.hashes[order], [freed[order], lower[order]], bits)), _DEALT_NAMES, _DEALT_KINDS)])
+        return pa.Table.from_batches([_rows(list(_deal(3, number, path, chunk.hashes[order], [freed[order], lower[order]], bits)), _DEALT_NAMES, _DEALT_KINDS)])
 
-    weights = _exchange(union(words, pairs).applyInArrow(weigh, _DEALT), _sum_weights, "weights")
+    dealt = _of_answers(counted).groupBy("chunk").applyInArrow(weigh, _DEALT)
+    weights = _exchange(dealt, _sum_weights(model.unknown), f"{home}/weights")
+    return _of_answers(counted).unionByName(_of_answers(weights)).groupBy("chunk").applyInArrow(_finish(model), _SCORED)
 
-    def finish(table: pa.Table) -> pa.Table:
-        _, parts = _joined(table)
-        chunk = Chunk(parts[0][0])
-        counts, (before, word, _, _, place), seen, _ = _lookups(chunk, parts)
-        beta = np.empty(len(counts))
-        beta[np.argsort(chunk.hashes)] = np.concatenate([_expand(x, "<f8") for x in parts[3]])
-        p = np.log10(model.bigram(seen, counts[before], counts[word], beta[before]))[place]
-        known, base = counts > 0, np.log10(model.base(counts))
-        at = chunk.starts
-        sums = [np.add.reduceat(x, at) for x in (known[chunk.tokens].astype(np.int64), base[chunk.tokens], p)]
-        docs = pa.array(chunk.docs, mask=chunk.docs == NO_ID)
-        n = pa.array(np.full(len(chunk.docs), model.tokens, np.int64))
-        return pa.table([docs, pa.array(chunk.train == 0), pa.array(chunk.lengths), pa.array(sums[0]), n, pa.array(sums[1]), pa.array(sums[2])], names=names)
 
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return union(words, pairs, weights).applyInArrow(finish, schema)
+def score_with(docs: DataFrame, model_path: str, *, chunk_tokens: int = 400_000, held_out: tuple[int, int] = (10, 0)) -> DataFrame:
+    """The columns of ``score`` for any documents, by the tables that ``score`` left at ``model_path``.
 
-
-def _keep(dealt: DataFrame, order: int, path: str) -> None:
-    def total(table: pa.Table) -> pa.Table:
-        _, _, keys, _, inverse, (counts,) = _met(table, ["<u4"])
-        sums = np.bincount(inverse, weights=counts, minlength=len(keys)).astype("<u8")
-        kept = sums > 0
-        row = (table.column("bucket")[0].as_py(), _squeeze(keys[kept]), _squeeze(sums[kept]))
-        return pa.Table.from_batches([_rows([row], ["bucket", "keys", "counts"], [pa.int32(), pa.binary(), pa.binary()])])
-
-    table = dealt.groupBy("bucket").applyInArrow(total, "bucket int, keys binary, counts binary")
-    table.withColumn("order", F.lit(order)).write.mode("append").partitionBy("order", "bucket").parquet(path)
+    ``held_out`` only fills the column of that name. Nulls, empty tables, repeated
+    rows and very long texts are as in ``score``.
+    """
+    spark = docs.sparkSession
+    model, bits = Katz.load(spark, model_path)
+    chunks = materialize(encode(docs, fresh_path(spark, "chunks"), chunk_tokens, held_out), "chunk_list")
+
+    def grams(chunk: Chunk) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        words = np.sort(chunk.hashes)
+        yield 1, words, []
+        yield 2, chunk.bigrams()[2], []
+        yield 3, words, []
+
+    def look_up(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.Table.from_batches([_rows([], _MET_NAMES, _MET_KINDS)])
+        order, bucket = asked.column("order")[0].as_py(), asked.column("bucket")[0].as_py()
+        keys, values = np.empty(0, np.uint64), np.empty(0, _KINDS[order])
+        if stored.num_rows:
+            keys, values = _keys(stored.column("keys")[0].as_py()), _expand(stored.column("vals")[0].as_py(), _KINDS[order])
+        out = []
+        for number, path, data in zip(*(asked.column(k).to_pylist() for k in ("chunk", "path", "keys")), strict=True):
+            own = _keys(data)
+            at = np.searchsorted(keys, own)
+            there = at < len(keys)
+            there[there] = keys[at[there]] == own[there]
+            found = np.zeros(len(own), _KINDS[order])
+            found[there] = values[at[there]] * (2 if order < 3 else 1)
+            out.append((order, bucket, number, path, None, _squeeze(found), None, "answer"))
+        return pa.Table.from_batches([_rows(out, _MET_NAMES, _MET_KINDS)])
+
+    tables = [spark.read.schema(_MET).parquet(f"{model_path.rstrip('/')}/{k}").where("role = 'table'") for k in ("counts", "weights")]
+    stored = tables[0].unionByName(tables[1]).groupBy("order", "bucket")
+    found = _asked(chunks, grams, bits).groupBy("order", "bucket").cogroup(stored).applyInArrow(look_up, _MET)
+    return _of_answers(found).groupBy("chunk").applyInArrow(_finish(model), _SCORED)
