@@ -18,8 +18,8 @@ Scoring is recursive per token: the discounted bigram if it was seen in
 training, else the history's weight times the unigram, whose freed mass is the
 unknown word's.
 
-The model's folder holds ``counts`` (by role and order) and ``weights``, both
-by bucket, and ``sums``. An exchange has a row for each chunk and bucket that
+The model's folder holds Parquet tables by order (1 and 2 are counts, 3 the
+histories' weights), each in files by bucket, sorted by hash, and ``sums``. An exchange has a row for each chunk and bucket that
 share keys, so far larger corpora want larger chunks and buckets.
 
 Words and bigrams are told apart by 64-bit hashes.
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -161,9 +162,10 @@ def encode(docs: DataFrame, folder: str, chunk_tokens: int, held_out: tuple[int,
 # a range of an order's hashes; order 3 are histories and their weights.
 
 _DEALT, _DEALT_KINDS = "order int, bucket int, chunk long, path string, keys binary, vals binary", [pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
-_MET, _MET_KINDS = _DEALT + ", stats array<long>, role string", [*_DEALT_KINDS, pa.list_(pa.int64()), pa.string()]
-_DEALT_NAMES = ["order", "bucket", "chunk", "path", "keys", "vals"]
-_MET_NAMES = [*_DEALT_NAMES, "stats", "role"]
+_ANSWER, _ANSWER_KINDS = "order int, bucket int, chunk long, path string, vals binary, stats array<long>", [*_DEALT_KINDS[:4], pa.binary(), pa.list_(pa.int64())]
+_DEALT_NAMES, _ANSWER_NAMES = ["order", "bucket", "chunk", "path", "keys", "vals"], ["order", "bucket", "chunk", "path", "vals", "stats"]
+#: Answers are counts times two, plus the owner's one (orders 1 and 2), and weights.
+_KINDS = {1: "<u8", 2: "<u8", 3: "<f8"}
 
 
 def _rows(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
@@ -208,28 +210,55 @@ class _Met:
     def sums(self) -> list[np.ndarray]:
         return [np.add.reduceat(v.astype(v.dtype if v.dtype.kind == "f" else np.uint64), self.starts) for v in self.values]
 
-    def rows(self, answers: np.ndarray, kept: np.ndarray, stored: np.ndarray, stats: list[int] | None) -> pa.Table:
-        """Each chunk's answers in the order of its keys, and the model's own row of this bucket."""
+    def rows(self, answers: np.ndarray, stats: list[int] | None) -> pa.Table:
+        """Each chunk's answers in the order of its keys, and a row of sums, whose chunk is a negative number of its own."""
         back = np.empty_like(answers)
         back[self.sorted] = answers
-        out = [(self.order, self.bucket, *o, None, _squeeze(x), None, "answer") for o, x in zip(self.owners, np.split(back, self.ends[:-1]), strict=True)]
-        out.append((self.order, self.bucket, None, None, _gaps(self.keys[kept]), _squeeze(stored[kept]), stats, "table"))
-        return pa.Table.from_batches([_rows(out, _MET_NAMES, _MET_KINDS)])
+        out = [(self.order, self.bucket, *o, _squeeze(x), None) for o, x in zip(self.owners, np.split(back, self.ends[:-1]), strict=True)]
+        if stats:
+            out.append((self.order, self.bucket, -(self.bucket << 2 | self.order), None, None, stats))
+        return pa.Table.from_batches([_rows(out, _ANSWER_NAMES, _ANSWER_KINDS)])
 
     def each(self, values: np.ndarray) -> np.ndarray:
         """Values of distinct keys for every row."""
         return np.repeat(values, np.diff(self.starts, append=len(self.sorted)))
 
 
-def _sum_counts(table: pa.Table) -> pa.Table:
-    """Corpus counts; answers are twice the count, plus one for the owner."""
-    met = _Met(table, ["<u4"])
-    (total,) = met.sums()
-    stats = [int((total > 0).sum()), int(total.sum()), *(int((total == r).sum()) for r in range(1, TOP + 2))]
-    return met.rows(met.each(total) * np.uint64(2) + met.new.astype(np.uint64), total > 0, total, stats)
+def _table_path(home: str, order: int, bucket: int) -> str:
+    return f"{home}/order={order}/bucket-{bucket:08d}.parquet"
+
+
+def _store(home: str, order: int, bucket: int, keys: np.ndarray, values: np.ndarray) -> None:
+    """Writes a bucket of the model's table of an order: hash (sorted as unsigned) and value."""
+    data = pa.table({"hash": pa.array(keys.view(np.int64)), "value": pa.array(values.astype(np.int64) if order < 3 else values)})
+    out = pa.BufferOutputStream()
+    pq.write_table(data, out, use_dictionary=False, compression="zstd", column_encoding={"hash": "DELTA_BINARY_PACKED"})
+    write_file(_table_path(home, order, bucket), out.getvalue().to_pybytes())
+
 
+def _load(home: str, order: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+    try:
+        file = read_file(_table_path(home, order, bucket))
+    except FileNotFoundError:  # no chunk had a key of this bucket
+        return np.empty(0, np.uint64), np.empty(0)
+    data = pq.read_table(pa.BufferReader(file))
+    return data.column("hash").to_numpy().view(np.uint64), data.column("value").to_numpy()
 
-def _sum_weights(unknown: float):
+
+def _sum_counts(home: str):
+    """Corpus counts: a bucket of the model's table, answers of twice the count, plus one for the owner, and count-of-counts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        met = _Met(table, ["<u4"])
+        (total,) = met.sums()
+        _store(home, met.order, met.bucket, met.keys[total > 0], total[total > 0])
+        stats = [int((total > 0).sum()), int(total.sum()), *(int((total == r).sum()) for r in range(1, TOP + 2))]
+        return met.rows(met.each(total) * np.uint64(2) + met.new.astype(np.uint64), stats)
+
+    return run
+
+
+def _sum_weights(home: str, unknown: float):
     """Freed mass over what the unseen words' unigrams leave, at least the unknown word's; negative where no mass was freed and one count is added."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -237,22 +266,12 @@ def _sum_weights(unknown: float):
         freed, lower = met.sums()
         left = np.maximum(1 - lower, unknown)
         weights = np.where(freed > 1e-9, freed / left, -1 / left)
-        return met.rows(met.each(weights), lower > 0, weights, None)
+        _store(home, met.order, met.bucket, met.keys[lower > 0], weights[lower > 0])
+        return met.rows(met.each(weights), None)
 
     return run
 
 
-def _exchange(dealt: DataFrame, summed, path: str) -> DataFrame:
-    """The met buckets, as a table by role and order: answers to chunks, and the model's."""
-    dealt.groupBy("order", "bucket").applyInArrow(summed, _MET).write.partitionBy("role", "order").parquet(path)
-    return dealt.sparkSession.read.schema(_MET).parquet(path)
-
-
-def _stats(tables: DataFrame, order: int) -> list[int]:
-    rows = tables.where((F.col("role") == "table") & (F.col("order") == order)).select(F.posexplode("stats").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()
-    return [r["n"] for r in rows] or [0] * (TOP + 3)
-
-
 # The model
 
 
@@ -310,13 +329,45 @@ class Katz:
         return np.where(pairs > 0, seen, np.where(histories > 0, np.abs(weights) / np.maximum(below, 1), 1.0) * lower)
 
 
-def _answers(table: pa.Table, kinds: dict[int, str]) -> tuple[int, str, dict[int, np.ndarray]]:
-    """A chunk's number and path, and its answers by order, in the order of its sorted keys."""
+def _answers(table: pa.Table) -> tuple[str, dict[int, np.ndarray]]:
+    """A chunk's path, and its answers by order, in the order of its sorted keys."""
     rows = sorted(zip(*(table.column(k).to_pylist() for k in ("order", "bucket", "vals")), strict=True), key=lambda r: r[:2])
     parts: dict[int, list[np.ndarray]] = {}
     for order, _, vals in rows:
-        parts.setdefault(order, []).append(_expand(vals, kinds[order]))
-    return table.column("chunk")[0].as_py(), table.column("path")[0].as_py(), {k: np.concatenate(v) for k, v in parts.items()}
+        parts.setdefault(order, []).append(_expand(vals, _KINDS[order]))
+    return table.column("path")[0].as_py(), {k: np.concatenate(v) for k, v in parts.items()}
+
+
+_GATHERED, _GATHERED_KINDS = "chunk long, path string, order int, stats array<long>", [pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64())]
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """Leaves a chunk's counts in a file beside it; a row of sums passes."""
+    chunk = table.column("chunk")[0].as_py()
+    if chunk >= 0:
+        path, answers = _answers(table)
+        write_file(path + ".counts", _bundle([_squeeze(answers[k]) for k in (1, 2)]))
+        row = (chunk, path, None, None)
+    else:
+        row = (chunk, None, table.column("order")[0].as_py(), table.column("stats")[0].as_py())
+    return pa.Table.from_batches([_rows([row], ["chunk", "path", "order", "stats"], _GATHERED_KINDS)])
+
+
+def _stats(gathered: DataFrame, order: int) -> list[int]:
+    rows = gathered.where(F.col("order") == order).select(F.posexplode("stats").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").collect()
+    return [r["n"] for r in rows] or [0] * (TOP + 3)
+
+
+class _Counted:
+    """A chunk with its words' and bigrams' counts in the corpus."""
+
+    def __init__(self, path: str) -> None:
+        self.chunk = Chunk(read_file(path))
+        one, two = (_expand(x, "<u8") for x in _unbundle(read_file(path + ".counts")))
+        self.order = np.argsort(self.chunk.hashes)
+        self.words = _by_word(self.order, (one >> np.uint64(1)).astype(np.int64))
+        self.before, self.word, _, _, self.place = self.chunk.bigrams()
+        self.seen, self.owned = (two >> np.uint64(1)).astype(np.int64), (two & np.uint64(1)).astype(bool)
 
 
 def _by_word(order: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -329,21 +380,18 @@ def _by_word(order: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 _SCORED_NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-#: Answers are counts times two, plus the owner's one (orders 1 and 2), and weights.
-_KINDS = {1: "<u8", 2: "<u8", 3: "<f8"}
 
 
 def _finish(model: Katz):
+    """Scores of a chunk's documents from its counts and the answers of order 3."""
+
     def run(table: pa.Table) -> pa.Table:
-        _, path, answers = _answers(table, _KINDS)
-        chunk = Chunk(read_file(path))
-        order = np.argsort(chunk.hashes)
-        counts = _by_word(order, (answers[1] >> np.uint64(1)).astype(np.int64))
-        before, word, _, _, place = chunk.bigrams()
+        path, answers = _answers(table)
+        c = _Counted(path)
+        chunk, counts = c.chunk, c.words
         beta = np.empty(len(counts))
-        beta[order] = answers[3]
-        seen = (answers[2] >> np.uint64(1)).astype(np.int64)
-        p = np.log10(model.bigram(seen, counts[before], counts[word], beta[before]))[place]
+        beta[c.order] = answers[3]
+        p = np.log10(model.bigram(c.seen, counts[c.before], counts[c.word], beta[c.before]))[c.place]
         known, base = counts > 0, np.log10(model.base(counts))
         sums = [np.add.reduceat(x, chunk.starts) for x in (known[chunk.tokens].astype(np.int64), base[chunk.tokens], p)]
         docs = pa.array(chunk.docs, mask=chunk.docs == NO_ID)
@@ -354,12 +402,12 @@ def _finish(model: Katz):
 
 
 def _asked(chunks: DataFrame, pick, bits: int) -> DataFrame:
-    """What ``pick`` deals of each chunk: rows (order, keys, values)."""
+    """What ``pick`` deals of each chunk's path: rows (order, keys, values)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for number, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for order, keys, values in pick(Chunk(read_file(path))):
+                for order, keys, values in pick(path):
                     yield _rows(list(_deal(order, number, path, keys, values, bits)), _DEALT_NAMES, _DEALT_KINDS)
 
     # few small rows that stand for a chunk's work each: dealt evenly
@@ -367,8 +415,13 @@ def _asked(chunks: DataFrame, pick, bits: int) -> DataFrame:
     return chunks.select("chunk", "path").repartition(parts).mapInArrow(run, _DEALT)
 
 
-def _of_answers(tables: DataFrame) -> DataFrame:
-    return tables.where("role = 'answer'").select("order", "bucket", "chunk", "path", "vals")
+def _by_bucket(dealt: DataFrame):
+    return dealt.groupBy("order", "bucket")
+
+
+def _chunks(docs: DataFrame, chunk_tokens: int, held_out: tuple[int, int]) -> DataFrame:
+    encoded = encode(docs, fresh_path(docs.sparkSession, "chunks"), chunk_tokens, held_out)
+    return materialize(encoded.repartition("chunk"), "chunk_list")  # small rows, few files
 
 
 def score(docs: DataFrame, *, chunk_tokens: int = 400_000, held_out: tuple[int, int] = (10, 0), bucket_tokens: int = 1_500_000, model_path: str | None = None) -> DataFrame:
@@ -384,35 +437,32 @@ def score(docs: DataFrame, *, chunk_tokens: int = 400_000, held_out: tuple[int,
     """
     spark = docs.sparkSession
     home = (model_path or fresh_path(spark, "katz")).rstrip("/")
-    chunks = materialize(encode(docs, fresh_path(spark, "chunks"), chunk_tokens, held_out), "chunk_list")
+    chunks = _chunks(docs, chunk_tokens, held_out)
     tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
     bits = max(6, (tokens // bucket_tokens).bit_length())
 
-    def grams(chunk: Chunk) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    def grams(path: str) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        chunk = Chunk(read_file(path))
         _, hashes, counts = chunk.words()
         yield 1, hashes, [counts.astype("<u4")]
         _, _, hashes, counts, _ = chunk.bigrams()
         yield 2, hashes, [counts.astype("<u4")]
 
-    counted = _exchange(_asked(chunks, grams, bits), _sum_counts, f"{home}/counts")
-    model = Katz(_stats(counted, 1), _stats(counted, 2))
+    answers = _by_bucket(_asked(chunks, grams, bits)).applyInArrow(_sum_counts(home), _ANSWER)
+    gathered = materialize(answers.groupBy("chunk").applyInArrow(_gather, _GATHERED).repartition("chunk"), "gathered")
+    model = Katz(_stats(gathered, 1), _stats(gathered, 2))
     model.save(spark, home, bits)
 
-    def weigh(table: pa.Table) -> pa.Table:
-        number, path, answers = _answers(table, _KINDS)
-        chunk = Chunk(read_file(path))
-        order = np.argsort(chunk.hashes)
-        counts = _by_word(order, (answers[1] >> np.uint64(1)).astype(np.int64))
-        before, word, *_ = chunk.bigrams()
-        seen = (answers[2] >> np.uint64(1)).astype(np.int64)
-        own = (answers[2] & np.uint64(1)).astype(bool) & (seen > 0)
-        freed = np.bincount(before[own], weights=seen[own] - model._kept(seen[own], model.two), minlength=len(counts))
-        lower = np.bincount(before[own], weights=model.unigram(counts[word[own]]), minlength=len(counts))
-        return pa.Table.from_batches([_rows(list(_deal(3, number, path, chunk.hashes[order], [freed[order], lower[order]], bits)), _DEALT_NAMES, _DEALT_KINDS)])
+    def weights(path: str) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        c = _Counted(path)
+        own = c.owned & (c.seen > 0)
+        before, seen = c.before[own], c.seen[own]
+        freed = np.bincount(before, weights=seen - model._kept(seen, model.two), minlength=len(c.words))
+        lower = np.bincount(before, weights=model.unigram(c.words[c.word[own]]), minlength=len(c.words))
+        yield 3, c.chunk.hashes[c.order], [freed[c.order], lower[c.order]]
 
-    dealt = _of_answers(counted).groupBy("chunk").applyInArrow(weigh, _DEALT)
-    weights = _exchange(dealt, _sum_weights(model.unknown), f"{home}/weights")
-    return _of_answers(counted).unionByName(_of_answers(weights)).groupBy("chunk").applyInArrow(_finish(model), _SCORED)
+    answers = _by_bucket(_asked(gathered.where("chunk >= 0"), weights, bits)).applyInArrow(_sum_weights(home, model.unknown), _ANSWER)
+    return answers.groupBy("chunk").applyInArrow(_finish(model), _SCORED)
 
 
 def score_with(docs: DataFrame, model_path: str, *, chunk_tokens: int = 400_000, held_out: tuple[int, int] = (10, 0)) -> DataFrame:
@@ -421,23 +471,20 @@ def score_with(docs: DataFrame, model_path: str, *, chunk_tokens: int = 400_000,
     ``held_out`` only fills the column of that name. Nulls, empty tables, repeated
     rows and very long texts are as in ``score``.
     """
-    spark = docs.sparkSession
-    model, bits = Katz.load(spark, model_path)
-    chunks = materialize(encode(docs, fresh_path(spark, "chunks"), chunk_tokens, held_out), "chunk_list")
+    home = model_path.rstrip("/")
+    model, bits = Katz.load(docs.sparkSession, home)
+    chunks = _chunks(docs, chunk_tokens, held_out)
 
-    def grams(chunk: Chunk) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    def grams(path: str) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+        chunk = Chunk(read_file(path))
         words = np.sort(chunk.hashes)
         yield 1, words, []
         yield 2, chunk.bigrams()[2], []
         yield 3, words, []
 
-    def look_up(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return pa.Table.from_batches([_rows([], _MET_NAMES, _MET_KINDS)])
+    def look_up(asked: pa.Table) -> pa.Table:
         order, bucket = asked.column("order")[0].as_py(), asked.column("bucket")[0].as_py()
-        keys, values = np.empty(0, np.uint64), np.empty(0, _KINDS[order])
-        if stored.num_rows:
-            keys, values = _keys(stored.column("keys")[0].as_py()), _expand(stored.column("vals")[0].as_py(), _KINDS[order])
+        keys, values = _load(home, order, bucket)
         out = []
         for number, path, data in zip(*(asked.column(k).to_pylist() for k in ("chunk", "path", "keys")), strict=True):
             own = _keys(data)
@@ -446,10 +493,11 @@ def score_with(docs: DataFrame, model_path: str, *, chunk_tokens: int = 400_000,
             there[there] = keys[at[there]] == own[there]
             found = np.zeros(len(own), _KINDS[order])
             found[there] = values[at[there]] * (2 if order < 3 else 1)
-            out.append((order, bucket, number, path, None, _squeeze(found), None, "answer"))
-        return pa.Table.from_batches([_rows(out, _MET_NAMES, _MET_KINDS)])
+            out.append((order, bucket, number, path, _squeeze(found), None))
+        return pa.Table.from_batches([_rows(out, _ANSWER_NAMES, _ANSWER_KINDS)])
+
+    def finish(table: pa.Table) -> pa.Table:
+        _gather(table)
+        return _finish(model)(table)
 
-    tables = [spark.read.schema(_MET).parquet(f"{model_path.rstrip('/')}/{k}").where("role = 'table'") for k in ("counts", "weights")]
-    stored = tables[0].unionByName(tables[1]).groupBy("order", "bucket")
-    found = _asked(chunks, grams, bits).groupBy("order", "bucket").cogroup(stored).applyInArrow(look_up, _MET)
-    return _of_answers(found).groupBy("chunk").applyInArrow(_finish(model), _SCORED)
+    return _by_bucket(_asked(chunks, grams, bits)).applyInArrow(look_up, _ANSWER).groupBy("chunk").applyInArrow(finish, _SCORED)
