@@ -42,6 +42,11 @@ def fingerprint_of(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     digest = xxhash.xxh64_intdigest
     joined = b" ".join
     hashes = np.fromiter((digest(joined(s), seed) for s in zip(*(words[k:] for k in range(size)), strict=False)), np.uint64, len(words) - size + 1)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8)

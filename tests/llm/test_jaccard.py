@@ -82,13 +82,56 @@ def test_stage_on_a_stored_table(spark):
 
 
 def test_blocks_of_a_bucket(spark):
-    from auditlake.llm.jaccard import similar_sets, with_set
+    from pyspark.sql import functions as F
+
+    from auditlake.llm.jaccard import TEXT_HASH, nodes_of, similar_sets
 
     rng = random.Random(5)
     texts = []
     for _ in range(12):
         base = [f"w{rng.randrange(500)}" for _ in range(60)]
         texts += [mutated(rng, base, c) for c in (0, 1, 1, 2, 2, 3)]
-    docs = with_set(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5)
-    whole, cut = (sorted(similar_sets(docs, shingle=5, threshold=0.8, block=b).collect()) for b in (2048, 2))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", F.xxhash64("text").alias(TEXT_HASH), "text")
+    read, _, nodes = nodes_of(docs, 5)
+    whole, cut = (sorted(similar_sets(docs, read, nodes, shingle=5, threshold=0.8, limit=3, block=b, block_shingles=n).collect()) for b, n in ((2048, 1_000_000), (2, 100)))
     assert whole and whole == cut
+
+
+def test_fingerprints_of_similar_sets_are_within_the_bound():
+    import numpy as np
+
+    from auditlake.llm import simhash
+    from auditlake.llm.jaccard import _K, FEW, _mixed, most_bits
+
+    rng = np.random.default_rng(3)
+    worst = 0
+    for n in (FEW, 80, 131, 250, 500):
+        for _ in range(300):
+            own = n // 9  # of each set's shingles the other lacks these: similarity 0.8
+            both = rng.integers(0, 1 << 64, n + own, dtype=np.uint64)
+            x, y = both[:n], both[own:]
+            worst = max(worst, sum((simhash.majority(f(x)) ^ simhash.majority(f(y))).bit_count() for f in (lambda s: s, lambda s: _mixed(s + _K))))
+    assert worst <= most_bits(0.8) == 40
+
+
+def test_hot_groups_leave_as_forests(spark):
+    """Copies of one text that are near and not near: links leave, not pairs, and every class is found."""
+    from auditlake.llm.jaccard import one_of_each
+
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(150)]
+    texts = {k: mutated(rng, base, rng.randrange(0, 20)) for k in range(400)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"] for r in one_of_each(docs).collect()}
+    assert got == smallest_of_components(texts)
+
+
+def test_rows_not_ids_are_told_apart(spark):
+    from auditlake.llm.jaccard import one_of_each
+
+    text = " ".join(f"w{k}" for k in range(50))
+    rows = [(1, text), (1, text), (1, "another text altogether"), (None, text), (2, text), (None, "only here"), (3, None), (4, ""), (5, "  ")]
+    docs = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, sid int, a string")
+    got = sorted(((r["doc_id"], r["text"]) for r in one_of_each(docs).collect()), key=repr)
+    assert got == sorted([(1, text), (1, "another text altogether"), (None, "only here"), (3, None)], key=repr)
+    assert one_of_each(docs.limit(0)).collect() == []
