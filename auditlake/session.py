@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -10,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of a batch that goes to Python; whole texts make Spark's own bound of 64 MB a heavy load for small executors.
+BATCH_BYTES = 8 << 20
 
 
 def build_session(name: str = "auditlake", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,7 +31,10 @@ def build_session(name: str = "auditlake", master: str | None = None, **conf: st
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once, so that Python functions find it there."""
+    """Sends this package to the executors once, so that Python functions find it there, and bounds their batches."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(bound)) or 0) > BATCH_BYTES:
+        spark.conf.set(bound, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
