@@ -8,6 +8,7 @@ a re-read and never a recomputation chain.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,13 +29,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset
-    (single-machine tests) a temporary folder is made and set.
+    It is the session's ``spark.checkpoint.dir``. Only on a local master, where
+    one machine does everything, may it be unset; a temporary folder is then made
+    and set. Elsewhere an unset folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="auditlake-")
         spark.conf.set("spark.checkpoint.dir", found)
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", found):  # as Spark would take it
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        found = default.rstrip("/") + "/" + found.lstrip("/") if not default.startswith("file:") else f"file://{os.path.abspath(found)}"
     return found.rstrip("/")
 
 
@@ -71,9 +79,17 @@ def crc_of_id(column: str) -> Column:
 
 
 def _local(uri: str) -> str | None:
+    """The path of a URI on the local file system; a path without a scheme is one."""
     if uri.startswith("file:"):
         return "/" + uri[5:].lstrip("/")
-    return uri if "://" not in uri else None
+    return None if "://" in uri else uri
+
+
+def _store(uri: str):
+    """pyarrow's file system and path of a URI; Hadoop's names of object stores are known too."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
 
 
 def write_file(uri: str, data: bytes) -> None:
@@ -81,19 +97,23 @@ def write_file(uri: str, data: bytes) -> None:
 
     A task that runs twice leaves two complete files or one, never half a file.
     """
+    part = f"{uri}.{uuid.uuid4().hex}"
     if (path := _local(uri)) is not None:
         os.makedirs(os.path.dirname(path), exist_ok=True)
-        part = f"{path}.{uuid.uuid4().hex}"
-        with open(part, "wb") as out:
+        with open(_local(part), "wb") as out:
             out.write(data)
-        os.replace(part, path)
+        os.replace(_local(part), path)
         return
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = _store(uri)
+    _, part = _store(part)
     store.create_dir(os.path.dirname(path), recursive=True)
-    with store.open_output_stream(path) as out:
+    with store.open_output_stream(part) as out:
         out.write(data)
+    try:
+        store.move(part, path)
+    except OSError:  # some stores do not move onto a file that another attempt has left
+        store.delete_file(path)
+        store.move(part, path)
 
 
 def read_file(uri: str) -> bytes:
@@ -101,8 +121,6 @@ def read_file(uri: str) -> bytes:
     if (path := _local(uri)) is not None:
         with open(path, "rb") as source:
             return source.read()
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = _store(uri)
     with store.open_input_stream(path) as source:
         return source.read()

@@ -45,7 +45,7 @@ FEW = 64
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = value
         return value
@@ -213,7 +213,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list]:
 class _Forest:
     """Joins nodes; tells whether a link joins something new. Forgets when it is full, which only lets links through twice."""
 
-    def __init__(self, most: int = 1_000_000) -> None:
+    def __init__(self, most: int = 300_000) -> None:
         self.root, self.most = {}, most
 
     def find(self, x: int) -> int:

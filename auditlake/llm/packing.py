@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import materialize, slices
-from auditlake.llm.tokens import encoder
+from auditlake.llm.tokens import TEXTS, encoder
 
 #: Pieces of one length that one bucket of the ranking holds on average, at most.
 BUCKET_ROWS = 20_000
@@ -35,7 +35,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, e
         ids_of, end = encoder(tokenizer).ids_of_all, np.array([end_id], "<u4").tobytes()
         size = 4 * capacity
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, TEXTS):
                 rows: list[tuple] = []
                 for doc, ids in zip(part.column(0).to_pylist(), ids_of(part.column(1).to_pylist()), strict=True):
                     ids += end

@@ -23,6 +23,8 @@ import numpy as np
 _UNSURE = "᠎​﻿"
 _ODD_CHARACTER = re.compile(rf"[^\S \n]|[{_UNSURE}]")
 _ODD_BLANKS = re.compile(rf"[^\S \n]|\s\s|\A\s|\s\Z|[{_UNSURE}]")
+#: Texts to encode in a call: few enough that their words stay in the processor's caches.
+TEXTS = 128
 #: Longer words are not kept.
 _LONG = 64
 
@@ -58,7 +60,7 @@ class _Words(dict):
 class WordEncoder:
     """Encodes texts as the tokenizers library does with add_special_tokens=False."""
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
