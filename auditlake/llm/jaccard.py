@@ -45,7 +45,7 @@ FEW = 64
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = value
         return value
@@ -128,7 +128,7 @@ def _reads(shingle: int, doc_kind: str):
                 none = pa.nulls(part.num_rows, pa.int64())
                 columns = [pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns, none, none], names)
-                if size >= 4_000_000:
+                if size >= 2_000_000:
                     yield often()
                     held, size = [], 0
         if size:

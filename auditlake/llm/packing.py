@@ -22,17 +22,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import materialize, slices
-from auditlake.llm.tokens import TEXTS, encoder
+from auditlake.llm.tokens import TEXTS, WORDS, encoder
 
 #: Pieces of one length that one bucket of the ranking holds on average, at most.
 BUCKET_ROWS = 20_000
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece; a null text is empty and has the end id alone."""
+def tokenized_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, words: int = WORDS) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece; a null text is empty and has the end id alone.
+
+    ``words`` bounds the words that a worker remembers (about 300 bytes each).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = encoder(tokenizer).ids_of_all, np.array([end_id], "<u4").tobytes()
+        ids_of, end = encoder(tokenizer, words).ids_of_all, np.array([end_id], "<u4").tobytes()
         size = 4 * capacity
         for batch in batches:
             for part in slices(batch, TEXTS):
@@ -124,12 +127,12 @@ def assign_slots(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
     return ranked.select(*names, (F.col("_before") + F.col("_in")).cast("long").alias("_rank")).mapInArrow(place, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, words: int = WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
     A null or empty text is a piece of one token; repeated rows and equal
     lengths take different slots; an empty table gives no rows; columns besides
     doc_id and text are not read.
     """
-    pieces = materialize(tokenized_pieces(docs, tokenizer, capacity=capacity, end_id=end_id), "pieces")
+    pieces = materialize(tokenized_pieces(docs, tokenizer, capacity=capacity, end_id=end_id, words=words), "pieces")
     return assign_slots(pieces, capacity=capacity)

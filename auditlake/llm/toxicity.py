@@ -184,7 +184,7 @@ def log_tail(hits: int, n: int, p: float) -> float:
 
 
 class _Cache(dict):
-    def __init__(self, make, most: int = 400_000) -> None:
+    def __init__(self, make, most: int = 150_000) -> None:
         self.make, self.most = make, most
 
     def __missing__(self, key):
@@ -253,15 +253,15 @@ def families(rows: DataFrame, *, shingle: int = 5) -> DataFrame:
     """
     kind = rows.schema["doc_id"].dataType.simpleString()
     plain = rows.select("doc_id", "toxic", "text")
-    sample = materialize(plain.mapInArrow(_with_bands(shingle), f"doc_id {kind}, toxic {rows.schema['toxic'].dataType.simpleString()}, text string, bands array<long>"), "sample")
+    sample = plain.mapInArrow(_with_bands(shingle), f"doc_id {kind}, toxic {rows.schema['toxic'].dataType.simpleString()}, text string, bands array<long>")
+    sample = materialize(sample.withColumn("row", F.monotonically_increasing_id()), "sample")
     told = F.xxhash64("doc_id", "text")
     nodes = sample.groupBy("bands").agg(F.min(told).alias("label"))
     for k in range(_BANDS):
         nodes = nodes.withColumn("label", F.min("label").over(Window.partitionBy(F.col("bands")[k])))
-    first = sample.join(nodes, "bands").groupBy("label", "toxic").agg(F.min(told).alias("told")).select("told", "toxic").distinct()
-    first = materialize(first, "families")
-    chosen = sample.withColumn("told", told).join(F.broadcast(first), ["told", "toxic"])  # at most a row for each of ``rows``
-    return chosen.dropDuplicates(["told", "toxic"]).select("text", "toxic")
+    first = sample.select("bands", "toxic", F.struct(told.alias("told"), "row").alias("rank")).join(nodes, "bands").groupBy("label", "toxic").agg(F.min("rank").alias("rank"))
+    first = materialize(first.select(F.col("rank.row").alias("row")), "families")
+    return sample.join(F.broadcast(first), "row").select("text", "toxic")  # at most a row for each of ``rows``
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = 50_000, z: float = 1.64, held_out: tuple[int, int] = (4, 2)) -> Model:
@@ -291,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = 50_000, z: floa
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(counts)
-        cache = _Cache(restorer.features, 200_000)
+        cache = _Cache(restorer.features, 30_000)
         n: Counter = Counter()
         hits: Counter = Counter()
         for batch in batches:
