@@ -83,3 +83,35 @@ def synthetic_id(source: Column, page: Column, selector: Column) -> Column:
 def language_of_locale(locale: Column) -> Column:
     """``en_US.UTF-8`` to ``en``."""
     return F.lower(F.split(locale, "[-_.]")[0])
+
+
+def day_stamp(at: Column) -> Column:
+    """``yyyy-MM-dd``, as dated folders are named."""
+    return F.date_format(at, "yyyy-MM-dd")
+
+
+def iso_stamp(at: Column) -> Column:
+    """ISO 8601 in UTC with milliseconds (the session's time zone being UTC)."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def local_stamp(at: Column) -> Column:
+    """Day, month and year as Spanish texts write them, with the time."""
+    return F.date_format(at, "d/M/yyyy, H:mm:ss")
+
+
+def elapsed(begin: Column, end: Column) -> Column:
+    """Seconds between two times, to two decimals."""
+    micros = [F.unix_micros(t.cast("timestamp")).cast("double") for t in (begin, end)]
+    return F.round((micros[1] - micros[0]) / 1e6, 2)
+
+
+def int_or(text: Column, default: int) -> Column:
+    """The whole number that a text begins with, else the default."""
+    return F.coalesce(F.regexp_extract(F.coalesce(text, F.lit("")), r"^\s*([+-]?\d+)", 1).try_cast("int"), F.lit(default))
+
+
+def with_entries(base: Column, more: Column) -> Column:
+    """Both maps in one; where both have a key the second's value stays."""
+    kept = F.map_filter(base, lambda k, _: ~F.map_contains_key(more, k))
+    return F.map_concat(kept, more)

@@ -31,6 +31,14 @@ def link_captures(findings: DataFrame, captures: DataFrame) -> DataFrame:
     return keyed.join(first, "slug", "left").drop("slug")
 
 
+def sheet_captures(findings: DataFrame, captures: DataFrame) -> DataFrame:
+    """``capturePath`` as workbooks show it: the one given, else the first in the folder that contains the page's slug, else a dash."""
+    given = F.col("capturePath") if "capturePath" in findings.columns else F.lit(None).cast("string")
+    named = findings.withColumn("_given", js_or(given)).drop("capturePath")
+    found = link_captures(named, captures)
+    return found.withColumn("capturePath", js_or(F.col("_given"), F.col("capturePath"), "—")).drop("_given")
+
+
 def capture_meta(findings: DataFrame) -> DataFrame:
     """What is stored beside each screenshot of findings (id, wcag, selector, impact, capturePath, pageUrl, source); rows without a page have none."""
     c = F.col

@@ -108,3 +108,8 @@ def review_rows(items: DataFrame) -> DataFrame:
         js_or(c("id"), c("ruleId"), "").alias("criterio"),
         js_or(F.get(F.filter("tags", lambda t: t.contains("wcag2")), F.lit(0)), "AA").alias("nivel"),
     )
+
+
+def review_candidates(sitemap: DataFrame, interactive: DataFrame) -> DataFrame:
+    """The review rows of both audits, one after the other; equal rows stay."""
+    return review_rows(needs_review(sitemap)).unionByName(review_rows(needs_review(interactive)))

@@ -141,3 +141,24 @@ def widths(rows: DataFrame) -> DataFrame:
 def coverage(part: Column, whole: Column, digits: int = 1) -> Column:
     """Percentage as a double; 0 where there is nothing to cover."""
     return F.coalesce(share(part, whole, digits), F.lit(0)).cast("double")
+
+
+def histogram(findings: DataFrame, field: str = "impact", empty: str = "sin clasificar") -> DataFrame:
+    """value, n and total: how often each value occurs, an absent one under ``empty``."""
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # as many rows as values
+    return count_by(findings, field, empty).withColumn("total", total)
+
+
+def exact_counts(findings: DataFrame, field: str = "impact") -> DataFrame:
+    """One row: how many rows have exactly each of the four severities, and all rows."""
+    return findings.agg(F.count("*").alias("total"), *(F.count_if(F.col(field) == s).alias(s) for s in SEVERITIES))
+
+
+def issues_total(pages: DataFrame) -> DataFrame:
+    """One row: pages and issues of the rows of ``multi_engine``."""
+    return pages.agg(F.count("*").alias("pages"), F.coalesce(F.sum("total_issues"), F.lit(0)).cast("long").alias("issues"))
+
+
+def valid_pages(pages: DataFrame) -> DataFrame:
+    """Nested pages that have an address and a list of violations."""
+    return pages.where((js_or(F.col("url"), "") != "") & F.col("violations").isNotNull())

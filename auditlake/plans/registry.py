@@ -296,7 +296,16 @@ def capture_link(spark, d):
     return captures.link_captures(r.select("_ord", "pageUrl"), shots).select("_ord", "capturePath")
 
 
-@query()
+_SKIPPED = " or ".join(f"contains(selector, '{x}')" for x in dedup.REPEATED)
+
+
+@query(f"""with recursive {_RAW}, named as (select _ord, coalesce(nullif(selector, ''), 'body') as selector from raw),
+    firsts as (select selector, min(_ord) as _ord from named where not ({_SKIPPED}) group by selector), ranked as (select *, row_number() over (order by _ord) as k from firsts),
+    fold(k, _ord, fresh, taken) as (select 0::bigint, -1::bigint, false, []::varchar[]
+        union all select r.k, r._ord, f.ok, case when f.ok then list_append(f.taken, r.selector) else f.taken end from (
+            select fold.k, fold.taken, len(list_filter(fold.taken, lambda t: contains(t, n.selector) or contains(n.selector, t))) = 0 as ok from fold join ranked as n on n.k = fold.k + 1) as f
+        join ranked as r on r.k = f.k + 1)
+    select n._ord, coalesce(f.fresh, false) as captured from named as n left join fold as f on f._ord = n._ord""")
 def capture_skip_fold(spark, d):
     return dedup.capture_fold(bind.raw(spark, d)).select("_ord", "captured")
 

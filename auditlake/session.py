@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 #: Bytes of a batch that goes to Python; whole texts make Spark's own bound of 64 MB a heavy load for small executors.
@@ -30,6 +31,29 @@ def build_session(name: str = "auditlake", master: str | None = None, **conf: st
     return builder.config(map=settings | conf).getOrCreate()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the driver and the executors share.
+
+    That is ``spark.checkpoint.dir``; only on a local master may it be unset, and
+    is then a temporary folder.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
+        found = "file://" + tempfile.mkdtemp(prefix="auditlake-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it again, which cuts its lineage."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once, so that Python functions find it there, and bounds their batches."""
     bound = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -64,3 +64,10 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page table as a URL inventory."""
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("_ord"), "url", title.alias("title"))
+
+
+def site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page table as one site whose pages link to each other: a page's address is one of its own links."""
+    found = F.regexp_extract_all("html", F.lit('<a[^>]+href="([^"]+)"'), F.lit(1))
+    own = F.get(found, (F.col("page_id") % F.greatest(F.size(found), F.lit(1))).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://site.example"), F.coalesce(own, F.lit("/"))).alias("url"), "html")

@@ -6,28 +6,23 @@ the order of files and of their elements decides which of equal findings stays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.js import contains_any, js_or, js_trim
 from auditlake.operators.normalize import RAW
+from auditlake.sources.sinks import exists
 
 SOURCES = {"sitemap": r"(?i)sitemap", "interactiva": r"(?i)interactiva", "manual": r"(?i)needs_review|manual"}
 EXCLUDED = ["merged", "summary", "export", "results-merged"]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def json_files(spark: SparkSession, folder: str) -> DataFrame:
     """path and text of all JSON files below a folder; none if it is missing."""
-    if not _exists(spark, folder):
+    if not exists(spark, folder):
         return spark.createDataFrame([], "path string, text string")
-    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("wholetext", True)
-    return read.text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    return read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def wanted(path: Column) -> Column:
@@ -66,26 +61,43 @@ def elements(files: DataFrame, *, mend: bool = False) -> DataFrame:
 
 
 def raw_findings(spark: SparkSession, folder: str) -> DataFrame:
-    """All raw findings below a folder, one scan for each source; a file may belong to several sources.
+    """All raw findings below a folder; a file may belong to several sources, and is read and parsed once.
 
     A row whose id or impact is no text ends its file, rows before it stay.
     """
     files = json_files(spark, folder).where(wanted(F.col("path")))
-    items = None
-    for rank, (source, pattern) in enumerate(SOURCES.items()):
-        own = elements(files.where(F.col("path").rlike(pattern))).select(F.lit(source).alias("source"), F.lit(rank).alias("rank"), "path", "idx", "item")
-        items = own if items is None else items.unionByName(own)
+    told = [F.when(F.col("path").rlike(pattern), F.struct(F.lit(rank).alias("rank"), F.lit(source).alias("source"))) for rank, (source, pattern) in enumerate(SOURCES.items())]
     value = lambda f: F.get_json_object("item", f"$.{f}")
-    number = lambda f: value(f).isNotNull() & F.schema_of_variant(F.try_variant_get(F.try_parse_json("item"), f"$.{f}", "variant")).rlike("^(BIGINT|DOUBLE|DECIMAL|BOOLEAN|ARRAY|OBJECT)")
-    bad = items.where(number("id") | number("impact")).groupBy("source", "path").agg(F.min("idx").alias("end"))
-    kept = items.join(bad, ["source", "path"], "left").where("end is null or idx < end")
-    order = F.struct(F.col("rank").alias("src"), F.col("path").alias("file"), "idx").alias("_ord")
-    return kept.select(order, "source", "path", F.col("item").alias("_raw"), *(value(f).alias(f) for f in RAW))
+    kind = lambda f: F.schema_of_variant(F.try_variant_get(F.try_parse_json("item"), f"$.{f}", "variant"))
+    odd = lambda f: value(f).isNotNull() & kind(f).rlike("^(BIGINT|DOUBLE|DECIMAL|BOOLEAN|ARRAY|OBJECT)")
+    items = elements(files).withColumn("bad", odd("id") | odd("impact"))
+    # the first bad row of a file, which a file's rows fit one task to find
+    ends = F.min(F.when(F.col("bad"), F.col("idx"))).over(Window.partitionBy("path"))
+    kept = items.withColumn("end", ends).where("end is null or idx < end")
+    rows = kept.withColumn("s", F.explode(F.array_compact(F.array(*told))))
+    order = F.struct(F.col("s.rank").alias("src"), F.col("path").alias("file"), "idx").alias("_ord")
+    return rows.select(order, F.col("s.source").alias("source"), "path", F.col("item").alias("_raw"), *(text_value("item", f).alias(f) for f in RAW))
+
+
+def text_value(item: str, field: str) -> Column:
+    """A field's text; JSON's false and 0 count as absent, as an empty text does."""
+    value = F.get_json_object(item, f"$.{field}")
+    plain = F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.col(item)), f"$.{field}", "variant"))
+    falsy = (plain.isin("BOOLEAN") & (value == "false")) | (plain.rlike("^(BIGINT|DOUBLE|DECIMAL)") & (value.try_cast("double") == 0))
+    return F.when(~F.coalesce(falsy, F.lit(False)), value)
+
+
+def read_object(spark: SparkSession, path: str) -> DataFrame:
+    """text of the JSON object in a file; no row if the file is missing or holds anything else."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "text string")
+    found = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
+    return found.where(_parses(F.col("text")) & F.schema_of_variant(F.try_parse_json("text")).startswith("OBJECT"))
 
 
 def read_urls(spark: SparkSession, path: str) -> DataFrame:
     """url and title of an inventory of objects or plain strings, with their order."""
-    rows = elements(spark.read.option("wholetext", True).text(path).select(F.lit(path).alias("path"), F.col("value").alias("text")))
+    rows = elements(spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), F.col("value").alias("text")))
     plain = F.try_variant_get(F.try_parse_json("item"), "$", "string")
     is_text = F.col("item").startswith('"')
     url = F.when(is_text, plain).otherwise(F.get_json_object("item", "$.url"))
@@ -94,7 +106,7 @@ def read_urls(spark: SparkSession, path: str) -> DataFrame:
 
 def listing(spark: SparkSession, folder: str, glob: str = "*", *, recursive: bool = True) -> DataFrame:
     """path, name and modified of files; contents are not read."""
-    if not _exists(spark, folder):
+    if not exists(spark, folder):
         return spark.createDataFrame([], "path string, name string, modified timestamp")
     read = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
     return read.load(folder).select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.col("modificationTime").alias("modified"))
@@ -120,4 +132,4 @@ def latest(files: DataFrame, by: str = "modified") -> str | None:
 
 
 def first_that_exists(spark: SparkSession, *paths: str) -> str | None:
-    return next((p for p in paths if _exists(spark, p)), None)
+    return next((p for p in paths if exists(spark, p)), None)

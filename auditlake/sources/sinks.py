@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.js import first_match, js_or
@@ -80,8 +84,116 @@ def write_csv(rows: DataFrame, path: str, *, single: bool = False) -> None:
     (rows.coalesce(1) if single else rows).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
+def write_json_array(rows: DataFrame, path: str, order: str | None = "_ord") -> None:
+    """One file with one JSON array, an object a line, sorted by ``order``.
+
+    The rows are sorted by all tasks and stream through one, which writes; nothing
+    gathers them in memory.
+    """
+    objects = (rows.orderBy(order).drop(order) if order else rows).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "["
+        for b in batches:
+            out = []
+            for text in b.column(0).to_pylist():
+                out.append(before + text)
+                before = ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"])], ["value"])
+
+    _write_file(objects.mapInArrow(run, "value string"), path)
+
+
+def write_object(row: DataFrame, path: str) -> None:
+    """One file with one JSON object, from a table of one row."""
+    _write_file(row.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).limit(1), path)
+
+
+def append_text(spark: SparkSession, path: str, text: str) -> None:
+    """Adds to a small text file, such as the summary of a CI run."""
+    lines = spark.createDataFrame([(0, text)], "at int, value string")
+    if exists(spark, path):
+        before = spark.read.text(path, wholetext=True).select(F.lit(-1).alias("at"), "value")
+        lines = before.union(lines)
+    whole = lines.coalesce(1).sortWithinPartitions("at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "").alias("value"))
+    _write_file(whole.select(F.regexp_replace("value", "\\n$", "").alias("value")), path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def _write_file(lines: DataFrame, path: str) -> None:
+    """The lines of a table of one partition as one file, written aside and then renamed."""
+    spark = lines.sparkSession
+    aside = f"{path}.{uuid.uuid4().hex}"
+    lines.coalesce(1).write.text(aside)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, folder = hadoop.Path(path), hadoop.Path(aside)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in store.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    store.delete(target, False)
+    if not store.rename(part, target):
+        raise OSError(f"{path} could not be written")
+    store.delete(folder, True)
+
+
+def verification(facts: DataFrame) -> DataFrame:
+    """What the verification file says: the row of ``pipeline_verdict`` under its names."""
+    c = F.col
+    return facts.select(
+        c("status"), c("exit_code").alias("exitCode"), c("merged").alias("totalMerged"), c("urls").alias("totalUrls"), c("captures").alias("totalCaptures"), c("coverage")
+    )
+
+
+def gate_markdown(gate: DataFrame, title: str = "Quality gate") -> str:
+    """The lines that a CI run's summary gets from the row of ``quality_gate``."""
+    r = gate.first()
+    verdict = "PASSED" if r["passed"] else "FAILED"
+    return f"## {title}\n\n| total | critical | serious | verdict |\n|---|---|---|---|\n| {r['total']} | {r['critical']} | {r['serious']} | {verdict} |\n"
+
+
+def dashboard(findings: DataFrame, title: str = "Dashboard") -> str:
+    """The dashboard's page: findings by impact and by engine, absent values under their labels."""
+    from auditlake.operators.metrics import count_by, histogram
+
+    impacts = histogram(findings).orderBy(F.desc("n"), "value")
+    engines = count_by(findings, "engine", "desconocido").orderBy(F.desc("n"), "value")
+    return html(title, {"Impacto": impacts, "Motor": engines})
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    _write_file(spark.createDataFrame([(text,)], "value string"), path)
+
+
+def dated_copy(spark: SparkSession, files: list[str], folder: str, day: str) -> list[str]:
+    """Copies artifacts to ``folder/day`` and returns their new paths."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    out = []
+    for path in files:
+        source, target = hadoop.Path(path), hadoop.Path(f"{folder.rstrip('/')}/{day}/{path.rstrip('/').rpartition('/')[2]}")
+        hadoop.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
+        out.append(target.toString())
+    return out
+
+
+def summary_rows(findings: DataFrame) -> DataFrame:
+    """sheet, value and n of the workbook's summary: totals, and findings by severity, source, engine, level and principle."""
+    from auditlake.operators.metrics import page_count, with_severity
+
+    f = with_severity(findings)
+    named = {"severidad": "severity", "origen": "source", "motor": "engine", "nivel": "nivel", "principio": "principio"}
+    pairs = F.array(*(F.struct(F.lit(k).alias("sheet"), js_or(F.col(c), "sin_dato").alias("value")) for k, c in named.items()))
+    each = f.select(F.explode(pairs).alias("p")).groupBy("p.sheet", "p.value").agg(F.count("*").alias("n"))
+    whole = f.agg(F.count("*").alias("hallazgos"), page_count("pageUrl").alias("paginas"))
+    both = whole.select(F.explode(F.array(*(F.struct(F.lit("resumen").alias("sheet"), F.lit(k).alias("value"), F.col(k).alias("n")) for k in ("hallazgos", "paginas")))).alias("p"))
+    return each.unionByName(both.select("p.*"))
+
+
 def write_json(findings: DataFrame, path: str, order: str = "_ord", *, single: bool = False) -> None:
-    """One object a line, sorted by ``order``."""
+    """One object a line, sorted by ``order``; in many files, for tables that one file must not hold, unless ``single``."""
     rows = findings.orderBy(order).drop(order)
     (rows.coalesce(1) if single else rows).write.mode("overwrite").json(path)
 
@@ -121,3 +233,9 @@ def html(title: str, sections: dict[str, DataFrame]) -> str:
 def url_list(pages: DataFrame, most: int = 80) -> DataFrame:
     """The first ``most`` pages by depth and address."""
     return pages.orderBy("depth", "node").limit(most).select(F.col("node").alias("url"))
+
+
+def crawl_log(crawled: DataFrame) -> DataFrame:
+    """A crawl's log: depth, address, title and result of every page, in order."""
+    result = F.when(F.col("ok"), "OK").otherwise("ERROR")
+    return crawled.select("depth", "url", "title", result.alias("result")).orderBy("depth", "url")
