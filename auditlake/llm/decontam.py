@@ -9,13 +9,16 @@ to start, so windows that would begin before the document's first word or end
 after its last one are dropped (positional and length bound), and the rest is
 verified word by word over a stretch of the window's size.
 
-The benchmark side is handled in blocks of at most ``block_bytes``; documents
-stream past each block and are never shuffled.
+The benchmark side is stored in blocks of at most ``block_bytes``, each a file
+in the shared folder. Documents are read twice, once for the frequencies and
+once for the matches, and never shuffled: a worker takes a batch of documents
+through all blocks, and keeps a block's index if there is but one.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.llm.common import slices, texts_utf8
+from auditlake.llm.common import fresh_path, materialize, read_file, slices, texts_utf8, write_file
 
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -60,21 +63,43 @@ def _shingles(words, size: int) -> zip:
     return zip(*(words[k:] for k in range(size)), strict=False)
 
 
-def _rarity(vocabulary: dict[int, set[tuple]]):
-    """Documents that hold each shingle of the vocabulary, summed by partition."""
+_KEPT: dict[str, object] = {}
+
+
+def _load(path: str, make):
+    """What ``make`` makes of a file; a worker keeps the last."""
+    if path not in _KEPT:
+        found = make(pickle.loads(read_file(path)))
+        _KEPT.clear()
+        _KEPT[path] = found
+    return _KEPT[path]
+
+
+def _vocabulary(block: list[tuple[bytes, list[str]]], shingle: int) -> dict[int, set[tuple]]:
+    out: dict[int, set[tuple]] = defaultdict(set)
+    for joined, _ in block:
+        words = joined.split(b" ")
+        out[min(shingle, len(words))].update(_shingles(words, min(shingle, len(words))))
+    return dict(out)
+
+
+def _rarity(paths: list[str], shingle: int):
+    """Documents that hold each shingle of a block, summed by partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple, int] = defaultdict(int)
+        seen: list[dict[tuple, int]] = [defaultdict(int) for _ in paths]
         for batch in batches:
-            for part in slices(batch):
-                for text in texts_utf8(part.column(0)):
-                    words = words_of(text)
-                    for size, known in vocabulary.items():
-                        for s in known.intersection(_shingles(words, size)):
-                            seen[s] += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([b" ".join(s) for s in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], ["shingle", "n"]
-        )
+            for k, path in enumerate(paths):
+                vocabulary, own = _load(path, lambda block: _vocabulary(block, shingle)), seen[k]
+                for part in slices(batch):
+                    for text in texts_utf8(part.column(0)):
+                        words = words_of(text)
+                        for size, known in vocabulary.items():
+                            for s in known.intersection(_shingles(words, size)):
+                                own[s] += 1
+        for k, own in enumerate(seen):
+            columns = [pa.array([k] * len(own), pa.int32()), pa.array([b" ".join(s) for s in own], pa.binary()), pa.array(list(own.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "shingle", "n"])
 
     return run
 
@@ -116,30 +141,25 @@ class PrefixIndex:
         return sum(s in there for s in want) >= self.threshold * len(want)
 
 
-def _scan(index: PrefixIndex, at: int):
-    """Adds the block's hits to the two state columns at ``at`` and ``at + 1``."""
+def _scan(paths: list[str], at: int):
+    """Fills the three state columns from ``at`` on: words, hit spans and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                spans, found = [], []
-                for text, before, items_before in zip(
-                    texts_utf8(part.column("text")), part.column(at + 1).to_pylist(), part.column(at + 2).to_pylist(), strict=True
-                ):
+            texts = texts_utf8(batch.column("text"))
+            counts = [0] * len(texts)
+            items: list[set[str]] = [set() for _ in texts]
+            hits: list[list[int]] = [[] for _ in texts]
+            for path in paths or [None]:
+                index = _load(path, lambda made: PrefixIndex(*made)) if path else None
+                for k, text in enumerate(texts):
                     words = words_of(text)
-                    items, hits = set(items_before), [np.frombuffer(before, np.int32)]
-                    for start, length, ids in index.find(words):
-                        hits.append(np.array([start, start + length], np.int32))
-                        items.update(ids)
-                    spans.append(np.concatenate(hits).tobytes())
-                    found.append(sorted(items))
-                counts = part.column(at)
-                if counts.null_count:
-                    counts = pa.array([len(words_of(t)) for t in texts_utf8(part.column("text"))], pa.int64())
-                kept = [part.column(k) for k in range(at)]
-                yield pa.RecordBatch.from_arrays(
-                    [*kept, counts, pa.array(spans, pa.binary()), pa.array(found, pa.list_(pa.string()))], names=part.schema.names
-                )
+                    counts[k] = len(words)
+                    for start, length, ids in index.find(words) if index else ():
+                        hits[k] += (start, start + length)
+                        items[k].update(ids)
+            state = [pa.array(counts, pa.int64()), pa.array([np.array(h, np.int32).tobytes() for h in hits], pa.binary()), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(at)), *state], names=batch.schema.names)
 
     return run
 
@@ -157,11 +177,11 @@ def blocks_of(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[l
     """Distinct windows with their items, in blocks whose size is checked before they are collected."""
     rows = (
         benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-        .where("item_id is not null")
         .mapInArrow(_window_rows(window), "item_id string, window binary")
         .groupBy("window")
         .agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     )
+    # a window of items without ids is a window, of no item that could be named
     size = rows.agg(F.sum(F.length("window") + F.size("items") * 24 + 64)).first()[0] or 0
     n = max(1, math.ceil(size / block_bytes))
     for k in range(n):
@@ -186,10 +206,10 @@ def find_contamination(
 
     ``docs`` needs a column ``text``; all its columns pass through, and the added
     names get underscores in front where ``docs`` has them already (see
-    ``state_names``). A null or empty text has no words and no hits. Items with
-    null ids or without words are left out; repeated items count once. An empty
-    benchmark gives no hits (and counts no words: ``n_words`` is null), an empty
-    table of documents no rows.
+    ``state_names``). A null or empty text has no words and no hits; very long
+    texts are read whole; repeated documents are judged each. Items without words
+    give nothing; those with null ids give hits, but no item; repeated items count
+    once. An empty benchmark gives no hits, an empty table of documents no rows.
     """
     added = state_names(docs.columns)
     names = docs.columns
@@ -200,21 +220,24 @@ def find_contamination(
         F.array().cast("array<string>").alias(added[2]),
     )
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema.fields])
+    home, paths = fresh_path(docs.sparkSession, "windows"), []
     for block in blocks_of(benchmark, window, block_bytes):
-        vocabulary: dict[int, set[tuple]] = defaultdict(set)
-        for joined, _ in block:
-            words = joined.split(b" ")
-            vocabulary[min(shingle, len(words))].update(_shingles(words, min(shingle, len(words))))
-        counted = docs.select("text").mapInArrow(_rarity(dict(vocabulary)), "shingle binary, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-        frequency = {bytes(r["shingle"]): r["n"] for r in counted.collect()} if block else {}
-        out = out.mapInArrow(_scan(PrefixIndex(block, shingle, threshold, frequency), len(names)), schema)
-    return out
+        if block:
+            paths.append(f"{home}/{len(paths):06d}.block")
+            write_file(paths[-1], pickle.dumps(block))
+    if paths:
+        counted = docs.select("text").mapInArrow(_rarity(paths, shingle), "block int, shingle binary, n long").groupBy("block", "shingle").agg(F.sum("n").alias("n"))
+        counted = materialize(counted, "rarity")
+        for k, path in enumerate(paths):
+            frequency = {bytes(r["shingle"]): r["n"] for r in counted.where(F.col("block") == k).collect()}  # as many as a block has
+            write_file(path + ".index", pickle.dumps((pickle.loads(read_file(path)), shingle, threshold, frequency)))
+    return out.mapInArrow(_scan([p + ".index" for p in paths], len(names)), schema)
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, whole, that hold no window of the benchmark."""
-    items = state_names(docs.columns)[2]
-    return find_contamination(docs, benchmark, **options).where(F.size(F.col(items)) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    spans = state_names(docs.columns)[1]
+    return find_contamination(docs, benchmark, **options).where(F.length(F.col(spans)) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
