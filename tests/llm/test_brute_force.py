@@ -205,3 +205,42 @@ def test_pipeline(spark, texts):
     assert kept <= set(texts) and len(kept) > 0.7 * len(set(texts.values()))
     dirty = {r["doc_id"] for r in rows_of(spark, "op1_decontamination") if r["contaminated"]}
     assert not kept & dirty
+
+
+def test_op2_recall_on_the_stored_table(spark):
+    import numpy as np
+
+    from auditlake.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    rows = ds.dataset(f"{sf}/embeddings.parquet").to_table().to_pylist()
+    ids = np.array([r["vec_id"] for r in rows])
+    x = np.array([r["embedding"] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = defaultdict(list)
+    for r in QUERIES["op2_ann"](spark, sf).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    asked = np.flatnonzero(ids % 50 == 0)
+    assert set(got) == set(ids[asked].tolist())
+    hits = 0
+    for q in asked:
+        scores = x @ x[q]
+        order = [int(ids[k]) for k in np.lexsort((ids, -scores)) if k != q][:5]
+        own = sorted(got[int(ids[q])])
+        assert [r for r, *_ in own] == [1, 2, 3, 4, 5] and all(abs(s - scores[np.flatnonzero(ids == v)[0]]) < 1e-9 for _, v, s in own)
+        hits += len(set(order) & {v for _, v, _ in own})
+    assert hits >= 0.9 * 5 * len(asked)
+
+
+def test_code_sums_are_inner_products():
+    import numpy as np
+
+    from auditlake.llm.ann import byte_sums
+
+    rng = np.random.default_rng(2)
+    for d in (3, 8, 64, 70):
+        turned, signs = rng.standard_normal((4, d)).astype(np.float32), rng.random((6, d)) < 0.5
+        codes, sums = np.packbits(signs, axis=1), byte_sums(turned)
+        got = sum(sums[:, b].take(codes[:, b], axis=1) for b in range(codes.shape[1]))
+        # bits behind the last coordinate meet zeros
+        assert np.allclose(got, turned @ (signs * 2.0 - 1).T, atol=1e-4)
