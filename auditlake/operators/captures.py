@@ -9,8 +9,8 @@ from auditlake.functions.js import js_or, slug_capture
 from auditlake.operators.lookup import enrich
 from auditlake.operators.normalize import impact_color
 
-#: Screenshot paths up to this many are compared by a broadcast; more are cut into blocks of this size.
-BLOCK_PATHS = 50_000
+#: Screenshot paths of up to this many bytes are compared by a broadcast; more are cut into blocks of this size.
+BLOCK_BYTES = 8 << 20
 
 
 def link_captures(findings: DataFrame, captures: DataFrame) -> DataFrame:
@@ -20,7 +20,8 @@ def link_captures(findings: DataFrame, captures: DataFrame) -> DataFrame:
     by block of bounded size; the result joins back by the slug.
     """
     slugs = findings.select(slug_capture(F.coalesce("pageUrl", F.lit(""))).alias("slug")).distinct()
-    n = max(1, -(-captures.count() // BLOCK_PATHS))
+    size = captures.agg(F.sum(F.octet_length("path") + 64)).first()[0] or 0
+    n = max(1, -(-size // BLOCK_BYTES))
     hits = None
     for k in range(n):
         block = F.broadcast(captures.where(F.pmod(F.xxhash64("path"), F.lit(n)) == k))

@@ -37,7 +37,17 @@ def defects(rows: DataFrame, raw: str | None = None, required: list[str] = REQUI
 def metadata_status(rows: DataFrame, duplicates: DataFrame, *, strict: bool = False) -> DataFrame:
     """Defect counts, number of duplicated ids, status and exit code. ``rows`` comes from ``defects``."""
     one = rows.agg(F.count_if(F.size("missing") > 0).alias("missing"), F.count_if(F.size("empties") > 0).alias("empty"))
-    both = one.join(duplicates.agg(F.count("*").alias("duplicates")))  # one row each
+    return _metadata_verdict(one.join(duplicates.agg(F.count("*").alias("duplicates"))), strict)  # one row each
+
+
+def metadata_verdict(rows: DataFrame, *, strict: bool = False) -> DataFrame:
+    """``metadata_status`` in one pass, the ids being those of ``rows`` themselves."""
+    each = rows.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.size("missing") > 0).alias("m"), F.count_if(F.size("empties") > 0).alias("e"))
+    sums = (F.coalesce(F.sum("m"), F.lit(0)).alias("missing"), F.coalesce(F.sum("e"), F.lit(0)).alias("empty"), F.count_if(F.col("n") > 1).alias("duplicates"))
+    return _metadata_verdict(each.agg(*sums), strict)
+
+
+def _metadata_verdict(both: DataFrame, strict: bool) -> DataFrame:
     bad = (F.col("missing") > 0) | (F.col("empty") > 0)
     some = F.col("duplicates") > 0
     code = first_match([(bad | (some & F.lit(strict)), F.lit(2)), (some, F.lit(1))], F.lit(0))

@@ -28,6 +28,12 @@ def count_by(findings: DataFrame, field: str, empty: str = "sin_dato") -> DataFr
     return findings.groupBy(js_or(F.col(field), empty).alias("value")).agg(F.count("*").alias("n"))
 
 
+def count_by_fields(findings: DataFrame, fields: list[str], empty: str = "sin_dato") -> DataFrame:
+    """field, value and n of several fields, in one pass."""
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), js_or(F.col(f), empty).alias("value")) for f in fields))
+    return findings.select(F.explode(pairs).alias("p")).groupBy("p.field", "p.value").agg(F.count("*").alias("n"))
+
+
 def page_count(*columns: str) -> Column:
     """Distinct pages; the empty one counts."""
     return F.count_distinct(js_or(*(F.col(c) for c in columns), ""))

@@ -139,11 +139,7 @@ def count_by_source_engine(spark, d):
     union all select 'impact', impact, count(*) from merged group by 2 union all select 'nivel', nivel, count(*) from merged group by 2
     union all select 'principio', case principio when '' then 'sin_dato' else principio end, count(*) from merged group by 2""")
 def count_by_field(spark, d):
-    m, out = _merged(spark, d), None
-    for f in ("engine", "impact", "nivel", "principio"):
-        part = metrics.count_by(m, f).select(F.lit(f).alias("field"), "value", "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return metrics.count_by_fields(_merged(spark, d), ["engine", "impact", "nivel", "principio"])
 
 
 @query(f"with {_RAW} select count(distinct coalesce(pageUrl, '')) as pages, count(distinct selector) as selectors from raw")
@@ -219,8 +215,7 @@ def missing_empty_fields(spark, d):
     select missing, empty, duplicates, case when empty > 0 then 'ERROR' when duplicates > 0 then 'WARNING' else 'OK' end as status,
         case when empty > 0 then 2 when duplicates > 0 then 1 else 0 end as exit_code from m, d""")
 def metadata_status(spark, d):
-    m = _merged(spark, d)
-    return gates.metadata_status(gates.defects(m, required=[*gates.REQUIRED, "principio"]), dedup.duplicate_ids(m))
+    return gates.metadata_verdict(gates.defects(_merged(spark, d), required=[*gates.REQUIRED, "principio"]))
 
 
 _SEV4 = ", ".join(f"count(*) filter (source = 'sitemap' and impact = '{s}') as {s}" for s in metrics.SEVERITIES)
