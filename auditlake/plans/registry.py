@@ -250,15 +250,16 @@ def report_counters(spark, d):
         count(*) filter (source = 'sitemap') > 0 and count(*) filter (source = 'interactiva') > 0 as both_sources,
         count(*) filter (engine = 'axe-core') > 0 and count(*) filter (engine = 'pa11y') > 0 as both_engines from merged),
     r as (select (select count(*) from pages) as urls, (select count(*) from raw where source = 'sitemap') as raw_sitemap,
-        (select count(*) from raw where source = 'interactiva') as raw_interactiva, 0 as captures),
+        (select count(*) from raw where source = 'interactiva') as raw_interactiva, (select count(distinct pageUrl) from raw where user_id % 5 = 0) as captures),
     j as (select *, cast(round(merged * 100.0 / (raw_sitemap + raw_interactiva), 1) as double) as coverage from f, r)
     select merged, sitemap, interactiva, sitemap_only_axe, interactive_has_pa11y, both_sources, both_engines, urls, raw_sitemap, raw_interactiva, captures, coverage,
-        case when not sitemap_only_axe or not both_sources or not both_engines then 2 else 1 end as exit_code,
-        case when not sitemap_only_axe or not both_sources or not both_engines then 'ERROR' else 'WARNING' end as status from j""")
+        case when not sitemap_only_axe or not both_sources or not both_engines or urls = 0 or merged = 0 or raw_sitemap + raw_interactiva = 0 then 2 when captures = 0 or coverage < 70 then 1 else 0 end as exit_code,
+        case when not sitemap_only_axe or not both_sources or not both_engines or urls = 0 or merged = 0 or raw_sitemap + raw_interactiva = 0 then 'ERROR' when captures = 0 or coverage < 70 then 'WARNING' else 'OK' end as status from j""")
 def coverage_verdict(spark, d):
     r = bind.raw(spark, d)
-    counts = metrics.cardinalities(urls=table(spark, d, "pages"), raw_sitemap=r.where("source = 'sitemap'"), raw_interactiva=r.where("source = 'interactiva'"))
-    facts = gates.sources_and_engines(_merged(spark, d)).join(counts.withColumn("captures", F.lit(0)))  # one row each
+    shots = r.where(F.regexp_extract("pageUrl", "/p([0-9]+)/", 1).cast("int") % 5 == 0).select("pageUrl").distinct()
+    counts = metrics.cardinalities(urls=table(spark, d, "pages"), raw_sitemap=r.where("source = 'sitemap'"), raw_interactiva=r.where("source = 'interactiva'"), captures=shots)
+    facts = gates.sources_and_engines(_merged(spark, d)).join(counts)  # one row each
     return gates.pipeline_verdict(facts)
 
 
@@ -269,11 +270,11 @@ def needs_review(spark, d):
     return gates.review_rows(gates.needs_review(bind.raw(spark, d)))
 
 
-@query(f"""with {_RAW}, p as (select * from raw where engine = 'pa11y' and impact = 'critical'), a as (select * from raw where engine = 'axe-core')
+@query(f"""with {_RAW}, p as (select * from raw where engine = 'pa11y'), a as (select * from raw where engine = 'axe-core')
     select _ord, pageUrl, engine from p union all select _ord, pageUrl, engine from a where pageUrl not in (select pageUrl from p)""")
 def engine_fallback(spark, d):
     r = bind.raw(spark, d).select("_ord", "pageUrl", "engine", "impact")
-    out = gates.engine_fallback(r.where("engine = 'axe-core'"), r.where("engine = 'pa11y' and impact = 'critical'"))
+    out = gates.engine_fallback(r.where("engine = 'axe-core'"), r.where("engine = 'pa11y'"))
     return out.select("_ord", "pageUrl", "engine")
 
 
@@ -360,11 +361,11 @@ def url_clean_dedup(spark, d):
     return urls.clean_inventory(bind.inventory(spark, d)).select("url", "title", "_ord")
 
 
-@query(f"""select page_id, url from pages where regexp_extract(lower(regexp_extract(url, {_SPLIT_URL}, 1)), '://([^/:]+)', 1) like '%.example.net'
+@query(f"""select page_id, url from pages where regexp_matches(url, {_SPLIT_URL})
     and (regexp_replace(regexp_extract(url, {_SPLIT_URL}, 2), '/$', '') in ('/es', '') or regexp_extract(url, {_SPLIT_URL}, 2) like '/es/%')""")
 def url_lang_filter(spark, d):
     own = F.lower(F.regexp_extract("url", "^https?://([^/?#:]+)", 1))
-    return table(spark, d, "pages").where(own.endswith(".example.net") & urls.in_language(F.col("url"), own, "es")).select("page_id", "url")
+    return table(spark, d, "pages").where(urls.in_language(F.col("url"), own, "es")).select("page_id", "url")
 
 
 @query(f"select page_id, regexp_matches(url, '\\.({_NOT_HTML})$', 'i') as not_html, not regexp_matches(url, '^(mailto|tel|javascript):', 'i') as is_link from pages")
@@ -451,13 +452,21 @@ def sheet_rows(spark, d):
 
 
 @query(f"""with {_RAW} select p.url, coalesce(f.n, 0) as total, coalesce(f.engine, 'unknown') as motor from
-    (select 'https://site' || s::varchar || '.example/es/p' || u::varchar || '/w0' as url from (select distinct user_id as u, user_id % 7 as s from events) as x) as p
-    left join (select pageUrl, count(*) as n, arg_min(engine, _ord) as engine from (select pageUrl, _ord, coalesce(engine, 'none') as engine from raw where impact = 'critical') as c group by pageUrl) as f on f.pageUrl = p.url""")
+    (select distinct pageUrl as url from raw union all select 'https://site.example/none/' || u::varchar from (select distinct user_id as u from events) as x) as p
+    left join (select pageUrl, count(*) as n, arg_min(engine, _ord) as engine from (select pageUrl, _ord, coalesce(engine, 'none') as engine from raw) as c group by pageUrl) as f on f.pageUrl = p.url""")
 def page_summary(spark, d):
+    rows = bind.raw(spark, d).withColumn("engine", F.coalesce("engine", F.lit("none")))
     users = table(spark, d, "events").select("user_id").distinct()
-    page = F.concat(F.lit("https://site"), (F.col("user_id") % 7).cast("string"), F.lit(".example/es/p"), F.col("user_id").cast("string"), F.lit("/w0"))
-    rows = bind.raw(spark, d).where("impact = 'critical'").withColumn("engine", F.coalesce("engine", F.lit("none")))
-    return metrics.page_summary(users.select(page.alias("url")), rows)
+    clean = users.select(F.concat(F.lit("https://site.example/none/"), F.col("user_id").cast("string")).alias("url"))
+    return metrics.page_summary(rows.select(F.col("pageUrl").alias("url")).distinct().unionByName(clean), rows)
+
+
+@query(f"""with {_RAW}, d as (select count(*) as duplicates from (select id from raw group by id having count(*) > 1) as x),
+    m as (select count(*) filter (engine is null) as missing, count(*) filter (trim(id) = '' or trim(description) = '') as empty from raw)
+    select missing, empty, duplicates, case when missing > 0 or empty > 0 then 'ERROR' when duplicates > 0 then 'WARNING' else 'OK' end as status,
+        case when missing > 0 or empty > 0 then 2 when duplicates > 0 then 1 else 0 end as exit_code from m, d""")
+def metadata_status_raw(spark, d):
+    return gates.metadata_verdict(gates.defects(bind.raw(spark, d), required=_SIX))
 
 
 @query(f"""with {_MERGED} select greatest(max(length(id)), 2) + 2 as id, greatest(max(length(pageUrl)), 7) + 2 as "pageUrl", greatest(max(length(wcag)), 4) + 2 as wcag from merged""")

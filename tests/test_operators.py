@@ -411,3 +411,68 @@ def test_streaming_dedup_and_merge(spark, tmp_path):
     query = rows.writeStream.foreachBatch(findings.merge_into(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_lookup_of_known_rules(spark):
+    """Criteria of rules, levels and tiers, written down here independently of the tables."""
+    from auditlake.operators.lookup import resolve
+
+    expected = {
+        "color-contrast": ("1.4.3", "AA", "Perceptible", 1), "image-alt": ("1.1.1", "A", "Perceptible", 1), "target-size": ("2.5.8", "AA", "Operable", 1), "axe-link_name": ("2.4.4", "A", "Operable", 1),
+        "html-has-lang": ("3.1.1", "A", "Comprensible", 1), "best-practice-region": ("1.3.1", "A", "Perceptible", 1), "label": ("3.3.2", "A", "Comprensible", 1), "aria-alert-name": ("4.1.3", "AA", "Robusto", 1),
+        "focus-not-obscured": ("2.4.12", "AAA", "Operable", 1), "2.1.1": ("2.1.1", "A", "Operable", 2), "1.4.10": ("1.4.10", "AA", "Perceptible", 2), "1.4.10 Reflujo": ("1.4.1", "A", "Perceptible", 3),
+        "some-error-rule": ("3.3.1", "A", "Comprensible", 4), "el foco": ("2.4.7", "AA", "Operable", 4), "meta-refresh": (None, "N/A", "Desconocido", 0), "unknown-thing": (None, "N/A", "Desconocido", 0),
+    }
+    rows = resolve(spark.createDataFrame([(r,) for r in [*expected, "", None]], "rule string")).collect()
+    assert {r["rule"]: (r["criterion"], r["nivel"], r["principio"], r["tier"]) for r in rows} == expected
+
+
+def test_links_resolve_against_their_page(spark):
+    from auditlake.operators.linkgraph import crawl, crawl_counters
+
+    pages = spark.createDataFrame(
+        [
+            (1, "https://a.example/x/", '<title>One</title><a href="two.html"></a><a href="../y"></a><a href="mailto:m@a.example"></a><a href="f.pdf"></a>'),
+            (2, "https://a.example/x/two.html?q=1", '<title> </title><form></form><a href="https://b.example/far"></a><a href="/missing"></a>'),
+            (3, "https://a.example/y", None),
+            (4, "https://b.example/far", "<title>Far</title>"),
+        ],
+        "page_id long, url string, html string",
+    )
+    seeds = pages.where("page_id = 1").select("url")
+    got = {(r["url"], r["depth"], r["title"], r["ok"], r["interactive"]) for r in crawl(pages, seeds).collect()}
+    assert got == {
+        ("https://a.example/x", 0, "One", True, False),
+        ("https://a.example/x/two.html", 1, "(sin título)", True, True),
+        ("https://a.example/y", 1, "(sin título)", True, False),
+        ("https://a.example/missing", 2, "(error de carga)", False, False),
+    }
+    assert tuple(crawl_counters(crawl(pages, seeds)).first()) == (4, 1, 1, 2, 2)
+    assert [r["url"] for r in crawl(pages, seeds, max_urls=2).collect()] == ["https://a.example/x", "https://a.example/x/two.html"]
+
+
+def test_streams_merge_by_batch(spark, tmp_path):
+    """A batch that is run again changes nothing; findings that are there already stay out."""
+    import datetime
+
+    from auditlake.streaming.findings import merge_into
+
+    schema = "ts timestamp, source string, id string, impact string, pageUrl string, selector string, engine string"
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    row = ("sitemap", "image-alt", "minor", "p")
+    one = spark.createDataFrame([(at(2), *row, "s", "second"), (at(1), *row, "s", "first"), (at(1), *row, "t", "axe-core")], schema)
+    two = spark.createDataFrame([(at(0), *row, "s", "late"), (at(3), *row, "u", "axe-core")], schema)
+    run, path = merge_into(str(tmp_path / "out")), str(tmp_path / "out")
+    run(one, 0)
+    run(two, 1)
+    for batch, number in ((one, 0), (two, 1), (two, 1)):
+        run(batch, number)
+        assert sorted((r["selector"], r["engine"]) for r in spark.read.parquet(path).collect()) == [("s", "first"), ("t", "axe-core"), ("u", "axe-core")]
+
+
+def test_falsy_values_of_json_count_as_absent(spark, tmp_path):
+    from auditlake.sources import readers
+
+    (tmp_path / "sitemap.json").write_text('[\n {"id": "x", "severity": false, "message": 0, "description": "d"},\n {"id": "y", "message": "0"}\n]\n')
+    rows = readers.raw_findings(spark, str(tmp_path)).orderBy("_ord").collect()
+    assert [(r["id"], r["severity"], r["message"], r["description"]) for r in rows] == [("x", None, None, "d"), ("y", None, "0", None)]
