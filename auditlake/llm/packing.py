@@ -130,9 +130,10 @@ def assign_slots(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, words: int = WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
-    A null or empty text is a piece of one token; repeated rows and equal
-    lengths take different slots; an empty table gives no rows; columns besides
-    doc_id and text are not read.
+    A null or empty text is a piece of one token; very long texts are cut into
+    pieces of ``capacity``; null ids come back null; repeated rows and equal lengths
+    take different slots; an empty table gives no rows; columns besides doc_id and
+    text are not read.
     """
     pieces = materialize(tokenized_pieces(docs, tokenizer, capacity=capacity, end_id=end_id, words=words), "pieces")
     return assign_slots(pieces, capacity=capacity)

@@ -97,7 +97,9 @@ class PieceCounter:
 def count_pieces(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, n_chars and n_tokens of every document.
 
-    Null and empty texts have none; repeated rows stay; other columns are not read.
+    Null and empty texts have none; very long texts and words are read whole; null
+    ids come back null; repeated rows stay; an empty table gives no rows; other
+    columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -114,7 +114,11 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
 
 
 def expected_pairs(n: int, differ: np.ndarray, most: int) -> list[float]:
-    """Pairs within distance 0, 1, ... ``most`` on bits that differ with the given chances."""
+    """Pairs within distance 0, 1, ... ``most`` on bits that differ with the given chances.
+
+    Bits are taken as independent. Those of a group are not, as they are grouped by
+    correlation, so real counts are higher; the plan only compares them.
+    """
     ways = np.zeros(most + 1)
     ways[0] = 1
     for d in differ:
@@ -292,9 +296,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, seed: int = 42, limit:
     """doc_id, fp and component_id (the smallest doc_id reachable) of every document.
 
     Null and empty texts have the fingerprint zero and are linked like any
-    other. Rows with a null doc_id keep their component's id, or null if no row
-    of it has one. Repeated rows stay. An empty table gives no rows; columns
-    besides doc_id and text are not read.
+    other; very long texts are read whole. Rows with a null doc_id keep their
+    component's id, or null if no row of it has one. Repeated rows stay. An empty
+    table gives no rows; columns besides doc_id and text are not read.
     """
     fps = materialize(fingerprints(docs, shingle=shingle, seed=seed), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
@@ -310,7 +314,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, seed: int = 42, limit:
 
 
 def survivors(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` but for all documents of a component besides the one with the smallest doc_id."""
+    """The rows of ``docs`` but for all documents of a component besides the one with the smallest doc_id.
+
+    It decides by ids: repeated rows of an id that stays all stay, and so do rows
+    without an id. ``jaccard.one_of_each`` decides by rows.
+    """
     found = near_duplicates(docs, **options)
     gone = materialize(found.where("doc_id != component_id").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

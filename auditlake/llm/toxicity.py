@@ -84,7 +84,7 @@ class Deobfuscator:
         self.log = np.log(p3).tolist()
 
     def decode(self, word: str) -> str:
-        """The likeliest spelling of ``word`` (lower case, no white space but between single letters)."""
+        """The likeliest spelling of ``word`` (lower case, no white space but between single letters), exactly."""
         log = self.log
         # state: the last two signs; value: cost, the letters so far as (all before, last)
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
@@ -109,7 +109,7 @@ class Deobfuscator:
                         key, value = (a, b), (cost + channel, done)
                     if key not in after or value[0] < after[key][0]:
                         after[key] = value
-            states = dict(sorted(after.items(), key=lambda kv: kv[1][0])[:64]) if len(after) > 64 else after
+            states = after  # no more than SIGNS ** 2, and few: every path is kept that may be the best
         done = min(((cost - log[a][b][0], done) for (a, b), (cost, done) in states.items()), key=lambda x: x[0])[1]
         out = []
         while done:
@@ -157,16 +157,19 @@ class Restorer:
         Words of four letters or more, up to ``longest``, and word beginnings are
         taken at every letter; shorter words only between wider gaps.
         """
-        run, out = run.lower(), set()
+        return set(self.each_spaced(run, longest))
+
+    def each_spaced(self, run: str, longest: int) -> Iterator[str]:
+        """The same one by one, with repeats."""
+        run = run.lower()
         for part in {run, *_WIDE.split(run)}:
             letters = self.deobfuscator.decode(part).translate(_GAPS)
             if letters:
-                out |= features_of(letters)
+                yield from features_of(letters)
             if part == run:
                 for k in range(len(letters) - 3):
-                    out.update(letters[k : k + n] for n in range(4, min(longest, len(letters) - k) + 1))
-                    out.update(letters[k : k + n] + "*" for n in (4, 5, 6) if k + n < len(letters))
-        return out
+                    yield from (letters[k : k + n] for n in range(4, min(longest, len(letters) - k) + 1))
+                    yield from (letters[k : k + n] + "*" for n in (4, 5, 6) if k + n < len(letters))
 
 
 def lower_bound(hits: int, n: int, z: float) -> float:
@@ -215,7 +218,7 @@ class Model:
             text = raw.decode("utf-8", "replace") if raw else ""
             best = max(map(value, set(text.split())), default=self.base)
             for run in spaced_runs(text):
-                best = max([best, *(self.lexicon.get(f, self.base) for f in self._restorer.spaced(run, longest))])
+                best = max(best, max((self.lexicon.get(f, self.base) for f in self._restorer.each_spaced(run, longest)), default=best))
             out.append(best)
         return out
 
@@ -271,8 +274,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = 50_000, z: floa
     whose crc32(doc_id) mod held_out[0] is held_out[1], teach nothing). Character
     statistics cover all documents; the lexicon is fitted on at most
     ``train_rows`` labelled documents, those with the smallest hashes of their
-    ids. A feature counts once for a family of near copies, and is kept where
-    toxic families hold it too often for chance, given how many features there are.
+    ids (more rows only where ids repeat). A feature counts once for a family of
+    near copies, and is kept where toxic families hold it too often for chance,
+    given how many features there are. Repeated rows of documents or labels count
+    once; of an id's labels the largest holds. Null and empty texts have no
+    features; very long ones are read whole. Without documents or labels the
+    lexicon is empty and every score is the base. Other columns are not read.
     """
     mod, out = held_out
     counts = char_counts(docs)
@@ -320,7 +327,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = 50_000, z: floa
 
 
 def score(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score and predicted of every document; null and empty texts get the base score."""
+    """doc_id, score and predicted of every document.
+
+    Null and empty texts get the base score; null ids come back null; repeated rows
+    are scored each; very long texts are read whole; an empty table gives no rows;
+    other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,7 +345,11 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame
 
 
 def accepted(docs: DataFrame, model: Model, *, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, whole, whose texts score below the threshold."""
+    """The rows of ``docs``, whole, whose texts score below the threshold.
+
+    Nulls, empty and very long texts, repeated rows and empty tables as in
+    ``score``; all columns pass through, whatever their names.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,8 +77,10 @@ def mine(labelled: DataFrame, *, least_rows: int = 15, confidence: float = 0.4,
     """(tokens, confidence, rows) of the rules mined from a table of url and bad (0 or 1).
 
     At most ``train_rows`` rows are used, those with the smallest hashes of their
-    urls. The support bound keeps the number of rules finite: no more than
-    train_rows / least_rows disjoint ones.
+    urls (their sort ends in one task of that many rows). A rule has at most
+    ``most_tokens`` tokens: longer combinations are not rules here, which bounds
+    what the driver collects to combinations of that many tokens that ``least_rows``
+    rows hold. Of those a rule stays that no part of it implies as confidently.
     """
     chosen = labelled.where("url is not null and bad is not null").orderBy(F.xxhash64("url"), "url").limit(train_rows)
     baskets = materialize(_with_tokens(chosen, ["bad"]), "baskets")
@@ -116,8 +118,9 @@ def judge(pages: DataFrame, labels: DataFrame, *, rules: Iterable[tuple[str, str
 
     A page's labels are those of the document whose id its path ends with
     (``document``); bad means toxic or of quality 0. Null urls and urls without
-    ``://`` have empty hosts and paths, fit no rule and are allowed. Repeated rows
-    stay; without labels nothing is mined; other columns are not read.
+    ``://`` have empty hosts and paths, fit no rule and are allowed. Very long urls
+    are read whole. Repeated rows stay; an empty table gives no rows; without labels
+    nothing is mined; other columns are not read.
     """
     own = pages.select("page_id", F.col("url").cast("string").alias("url"))
     path_only = own.select("url", F.regexp_extract(path_of(F.col("url")), document, 1).alias("digits"))

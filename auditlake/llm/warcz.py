@@ -152,7 +152,10 @@ def _page(urn: str) -> int | None:
 def write_archives(pages: DataFrame, folder: str, *, least: int = 100, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes the rows (page_id, url, html) as archives; returns the manifest: path, records.
 
-    A null html is an empty payload, a null url gives a record without target.
+    A null html is an empty payload, a null url gives a record without target; a
+    very long payload is one frame like any other, in an archive of its own if it
+    is longer than ``archive_bytes``. An empty table gives no archives; other
+    columns are not read.
     Rows with a null page_id are responses; so are all rows that bear the id of
     their payload's response.
     """

@@ -252,7 +252,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int =
 
     Documents are split by ranges of doc_id, so files follow each other in
     ascending order of (part, shard). Null texts are empty; null ids come first;
-    rows that repeat an id follow each other.
+    rows that repeat an id follow each other, in one part; a very long text is a
+    shard of its own; an empty table gives no files; other columns are not read.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

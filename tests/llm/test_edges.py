@@ -246,8 +246,10 @@ def test_warc_reader_checks():
     assert data[:4] == bytes([0x5D, 0x2A, 0x4D, 0x18])
     assert [r.payload for r in decode_archive(data)] == [b"hello"] * 40
     assert len(list(decode_archive(encode_archive(records, [])))) == 40
+    import zstandard
+
     for broken in (data[:-5], data[:60], encode_archive([records[0].replace(b"hello", b"hellO")], []), encode_archive([records[0] + b"x"], []), encode_archive([records[0].replace(b"WARC-Date", b"Other")], [])):
-        with pytest.raises((ValueError, Exception)):
+        with pytest.raises((ValueError, zstandard.ZstdError)):
             list(decode_archive(broken))
 
 

@@ -45,3 +45,44 @@ def test_long_words_are_restored(spark):
     restorer = Restorer(char_counts(table(spark, "/root/testdata/sf0.01", "documents")))
     assert "idiot*" not in restorer.features("1d10t") and "idio*" in restorer.features("1d10t" + "s" * 1 + "a" * 45)
     assert len(restorer.deobfuscator.decode("a b " * 5000)) >= 10_000
+
+
+def test_decode_is_the_best_of_all_spellings(spark):
+    """Every spelling of short words, costed one by one."""
+    import itertools
+
+    import pytest
+
+    from auditlake.llm.common import table
+    from auditlake.llm.toxicity import LEET, Deobfuscator, _code, char_counts
+
+    d = Deobfuscator(char_counts(table(spark, "/root/testdata/sf0.01", "documents")))
+
+    def spellings(word):
+        each = []
+        for k, c in enumerate(word):
+            if "a" <= c <= "z":
+                own = [(c, 0.0)] + ([("", d.REPEAT_COST)] if word[k - 1 : k] == c else [])
+            else:
+                own = [(x, d.LEET_COST) for x in LEET.get(c, "")] + ([("", d.DROP_COST)] if c in " .-_*" else [])
+                own.append((c, d.KEEP_COST if c in LEET or not c.isalpha() else 0.0))
+            each.append(own)
+        return itertools.product(*each)
+
+    def cost(parts):
+        a = b = 0
+        total = 0.0
+        for x, channel in parts:
+            total += channel
+            if x:
+                s = _code(x)
+                total -= d.log[a][b][s]
+                a, b = b, s
+        return total - d.log[a][b][0]
+
+    rng = random.Random(3)
+    words = ["1d10t", "st|p1d", "m-o-r-o-n", "aaabbb", "1", "--", "ñ1$!", "h e l l o"] + ["".join(rng.choice("aab1|!-. zñ0") for _ in range(rng.randrange(1, 8))) for _ in range(150)]
+    for word in words:
+        best = min(map(cost, spellings(word)))
+        got = d.decode(word)
+        assert min(cost(p) for p in spellings(word) if "".join(x for x, _ in p) == got) == pytest.approx(best)
