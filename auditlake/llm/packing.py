@@ -31,7 +31,7 @@ BUCKET_ROWS = 20_000
 def tokenized_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, words: int = WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece; a null text is empty and has the end id alone.
 
-    ``words`` bounds the words that a worker remembers (about 300 bytes each).
+    ``words`` bounds the words that a worker remembers (about 200 bytes each).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ _ODD_BLANKS = re.compile(rf"[^\S \n]|\s\s|\A\s|\s\Z|[{_UNSURE}]")
 #: Texts to encode in a call: few enough that their words stay in the processor's caches.
 TEXTS = 128
 #: Words that are remembered in each of two generations.
-WORDS = 500_000
+WORDS = 1_000_000
 #: Longer words are not kept.
 _LONG = 64
 #: A line of Latin letters and the ASCII signs after them; both are pieces of their own for the vocabularies known here.
