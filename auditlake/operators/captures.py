@@ -9,24 +9,32 @@ from auditlake.functions.js import js_or, slug_capture
 from auditlake.operators.lookup import enrich
 from auditlake.operators.normalize import impact_color
 
-#: Screenshot paths of up to this many bytes are compared by a broadcast; more are cut into blocks of this size.
+#: Slugs at least this long are found by their last characters.
+GRAM = 12
+#: For shorter ones, screenshot paths of up to this many bytes are compared by a broadcast; more are cut into blocks of this size.
 BLOCK_BYTES = 8 << 20
 
 
 def link_captures(findings: DataFrame, captures: DataFrame) -> DataFrame:
     """Adds ``capturePath``: the first of captures (path, pos) that contains the page's slug; an empty page matches the first.
 
-    Substring matching has no key, so distinct slugs only meet the paths, block
-    by block of bounded size; the result joins back by the slug.
+    A path that contains a slug has its last ``GRAM`` characters as a piece, so
+    distinct slugs join the paths' pieces and are then compared whole. Slugs too
+    short for that meet all paths, block by block of bounded size. The result joins
+    back by the slug.
     """
     slugs = findings.select(slug_capture(F.coalesce("pageUrl", F.lit(""))).alias("slug")).distinct()
+    starts = F.sequence(F.lit(1), F.greatest(F.length("path") - GRAM + 1, F.lit(1)))
+    pieces = captures.where(F.length("path") >= GRAM).select("path", "pos", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("path", i, GRAM)))).alias("gram"))
+    own = slugs.where(F.length("slug") >= GRAM).withColumn("gram", F.expr(f"right(slug, {GRAM})"))
+    best = (F.min_by("path", "pos").alias("path"), F.min("pos").alias("pos"))
+    hits = own.join(pieces, "gram").where(F.col("path").contains(F.col("slug"))).groupBy("slug").agg(*best)
+    short = slugs.where(F.length("slug") < GRAM)
     size = captures.agg(F.sum(F.octet_length("path") + 64)).first()[0] or 0
     n = max(1, -(-size // BLOCK_BYTES))
-    hits = None
     for k in range(n):
         block = F.broadcast(captures.where(F.pmod(F.xxhash64("path"), F.lit(n)) == k))
-        part = slugs.join(block, F.col("path").contains(F.col("slug"))).groupBy("slug").agg(F.min_by("path", "pos").alias("path"), F.min("pos").alias("pos"))
-        hits = part if hits is None else hits.unionByName(part)
+        hits = hits.unionByName(short.join(block, F.col("path").contains(F.col("slug"))).groupBy("slug").agg(*best))
     first = hits.groupBy("slug").agg(F.min_by("path", "pos").alias("capturePath"))
     keyed = findings.withColumn("slug", slug_capture(F.coalesce("pageUrl", F.lit(""))))
     return keyed.join(first, "slug", "left").drop("slug")
