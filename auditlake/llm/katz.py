@@ -424,7 +424,7 @@ def _chunks(docs: DataFrame, chunk_tokens: int, held_out: tuple[int, int]) -> Da
     return materialize(encoded.repartition("chunk"), "chunk_list")  # small rows, few files
 
 
-def score(docs: DataFrame, *, chunk_tokens: int = 400_000, held_out: tuple[int, int] = (10, 0), bucket_tokens: int = 1_500_000, model_path: str | None = None) -> DataFrame:
+def score(docs: DataFrame, *, chunk_tokens: int = 800_000, held_out: tuple[int, int] = (10, 0), bucket_tokens: int = 1_500_000, model_path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     The model learns from documents whose crc32(doc_id) mod held_out[0] is not
@@ -465,7 +465,7 @@ def score(docs: DataFrame, *, chunk_tokens: int = 400_000, held_out: tuple[int,
     return answers.groupBy("chunk").applyInArrow(_finish(model), _SCORED)
 
 
-def score_with(docs: DataFrame, model_path: str, *, chunk_tokens: int = 400_000, held_out: tuple[int, int] = (10, 0)) -> DataFrame:
+def score_with(docs: DataFrame, model_path: str, *, chunk_tokens: int = 800_000, held_out: tuple[int, int] = (10, 0)) -> DataFrame:
     """The columns of ``score`` for any documents, by the tables that ``score`` left at ``model_path``.
 
     ``held_out`` only fills the column of that name. Nulls, empty tables, repeated
