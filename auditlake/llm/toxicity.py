@@ -187,7 +187,7 @@ def log_tail(hits: int, n: int, p: float) -> float:
 
 
 class _Cache(dict):
-    def __init__(self, make, most: int = 400_000) -> None:
+    def __init__(self, make, most: int = 200_000) -> None:
         self.make, self.most = make, most
 
     def __missing__(self, key):
@@ -298,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = 50_000, z: floa
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(counts)
-        cache = _Cache(restorer.features, 100_000)
+        cache = _Cache(restorer.features, 50_000)
         n: Counter = Counter()
         hits: Counter = Counter()
         for batch in batches:
