@@ -47,7 +47,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     from auditlake.llm.packing import pack
 
     ship(spark)
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), words=400_000)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), words=200_000)
 
 
 STAGES = [
