@@ -6,11 +6,12 @@ the order of files and of their elements decides which of equal findings stays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.js import contains_any, js_or, js_trim
 from auditlake.operators.normalize import RAW
+from auditlake.sources.arrays import array_elements, parses
 from auditlake.sources.sinks import exists
 
 SOURCES = {"sitemap": r"(?i)sitemap", "interactiva": r"(?i)interactiva", "manual": r"(?i)needs_review|manual"}
@@ -30,12 +31,6 @@ def wanted(path: Column) -> Column:
     return ~contains_any(path, EXCLUDED) & ~path.endswith("urls.json")
 
 
-def _parses(text: Column) -> Column:
-    """Whether the whole text is one JSON value. The parser overlooks what follows a value, but not within brackets."""
-    within = [F.try_parse_json(F.concat(F.lit(a), text, F.lit(b))).isNotNull() for a, b in (("[", "]"), ('{"v":', "}"))]
-    return F.coalesce(F.try_parse_json(text).isNotNull() & within[0] & within[1], F.lit(False))
-
-
 def repair(text: Column) -> Column:
     """JSON text with glued objects, glued arrays, trailing commas or open arrays mended; valid text stays."""
     fixed = F.translate(text, "\n", "")
@@ -44,14 +39,14 @@ def repair(text: Column) -> Column:
     fixed = js_trim(F.regexp_replace(fixed, r",\s*\]", "]"))
     fixed = F.when(fixed.startswith("["), fixed).otherwise(F.concat(F.lit("["), fixed))
     fixed = F.when(fixed.endswith("]"), fixed).otherwise(F.concat(fixed, F.lit("]")))
-    return F.when(_parses(text), text).otherwise(fixed)
+    return F.when(parses(text), text).otherwise(fixed)
 
 
 def elements(files: DataFrame, *, mend: bool = False) -> DataFrame:
     """path, idx and item (JSON text) of the elements of array files; others and broken ones give none. Nested arrays are flattened once if ``mend``."""
     text = repair(F.col("text")) if mend else F.col("text")
     # the path of files that are not arrays is skipped, as is text that does not parse
-    whole = F.when(_parses(text) & F.schema_of_variant(F.try_parse_json(text)).startswith("ARRAY"), F.try_variant_get(F.try_parse_json(text), "$", "array<variant>"))
+    whole = F.when(parses(text) & F.schema_of_variant(F.try_parse_json(text)).startswith("ARRAY"), F.try_variant_get(F.try_parse_json(text), "$", "array<variant>"))
     rows = files.select("path", F.posexplode(whole).alias("idx", "v"))
     if mend:
         nested = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
@@ -65,15 +60,17 @@ def raw_findings(spark: SparkSession, folder: str) -> DataFrame:
 
     A row whose id or impact is no text ends its file, rows before it stay.
     """
-    files = json_files(spark, folder).where(wanted(F.col("path")))
     told = [F.when(F.col("path").rlike(pattern), F.struct(F.lit(rank).alias("rank"), F.lit(source).alias("source"))) for rank, (source, pattern) in enumerate(SOURCES.items())]
     value = lambda f: F.get_json_object("item", f"$.{f}")
     kind = lambda f: F.schema_of_variant(F.try_variant_get(F.try_parse_json("item"), f"$.{f}", "variant"))
     odd = lambda f: value(f).isNotNull() & kind(f).rlike("^(BIGINT|DOUBLE|DECIMAL|BOOLEAN|ARRAY|OBJECT)")
-    items = elements(files).withColumn("bad", odd("id") | odd("impact"))
-    # the first bad row of a file, which a file's rows fit one task to find
-    ends = F.min(F.when(F.col("bad"), F.col("idx"))).over(Window.partitionBy("path"))
-    kept = items.withColumn("end", ends).where("end is null or idx < end")
+    if not exists(spark, folder):
+        items = spark.createDataFrame([], "path string, idx long, item string")
+    else:
+        items = array_elements(spark, folder, wanted(F.col("path")), recursiveFileLookup=True, pathGlobFilter="*.json")
+    # the first bad row of a file
+    ends = items.where(odd("id") | odd("impact")).groupBy("path").agg(F.min("idx").alias("end"))
+    kept = items.join(F.broadcast(ends), "path", "left").where("end is null or idx < end")
     rows = kept.withColumn("s", F.explode(F.array_compact(F.array(*told))))
     order = F.struct(F.col("s.rank").alias("src"), F.col("path").alias("file"), "idx").alias("_ord")
     return rows.select(order, F.col("s.source").alias("source"), "path", F.col("item").alias("_raw"), *(text_value("item", f).alias(f) for f in RAW))
@@ -92,12 +89,12 @@ def read_object(spark: SparkSession, path: str) -> DataFrame:
     if not exists(spark, path):
         return spark.createDataFrame([], "text string")
     found = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
-    return found.where(_parses(F.col("text")) & F.schema_of_variant(F.try_parse_json("text")).startswith("OBJECT"))
+    return found.where(parses(F.col("text")) & F.schema_of_variant(F.try_parse_json("text")).startswith("OBJECT"))
 
 
 def read_urls(spark: SparkSession, path: str) -> DataFrame:
     """url and title of an inventory of objects or plain strings, with their order."""
-    rows = elements(spark.read.text(path, wholetext=True).select(F.lit(path).alias("path"), F.col("value").alias("text")))
+    rows = array_elements(spark, path)
     plain = F.try_variant_get(F.try_parse_json("item"), "$", "string")
     is_text = F.col("item").startswith('"')
     url = F.when(is_text, plain).otherwise(F.get_json_object("item", "$.url"))
