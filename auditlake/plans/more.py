@@ -11,7 +11,7 @@ from auditlake.functions import js
 from auditlake.operators import captures, dedup, gates, linkgraph, lookup, metrics, normalize, rules, urls
 from auditlake.plans.registry import _DIMS, _GROUPS, _MERGED, _NESTED, _RAW, _RESOLVE, _SEV4, _SLUG, _merged, query
 from auditlake.session import scratch
-from auditlake.sources import bind, readers, sinks
+from auditlake.sources import arrays, bind, readers, sinks
 from auditlake.sources.bind import table
 
 _SIX = "source, id, impact, description, pageUrl, selector"
@@ -59,8 +59,8 @@ def source_inventory(spark, d):
 def source_plain_inventory(spark, d):
     """An inventory file of plain addresses."""
     path = scratch(spark, "urls") + ".json"
-    whole = table(spark, d, "pages").agg(F.to_json(F.sort_array(F.collect_list("url"))).alias("value"))
-    sinks._write_file(whole, path)
+    quoted = F.to_json(F.array("url"))
+    sinks.write_values(table(spark, d, "pages").where("url is not null").orderBy("url").select(F.substr(quoted, F.lit(2), F.length(quoted) - 2).alias("value")), path)
     return urls.read_inventory(readers.read_urls(spark, path))
 
 
@@ -96,7 +96,9 @@ def sink_json_array(spark, d):
     """K1: one file with one array."""
     path = scratch(spark, "merged") + ".json"
     sinks.write_json_array(_merged(spark, d), path)
-    return spark.read.option("multiLine", True).json(path).select("id", "pageUrl", "source", "engine", "impact", "selector", "resultadoActual")
+    names = ["id", "pageUrl", "source", "engine", "impact", "selector", "resultadoActual"]
+    found = arrays.array_elements(spark, path).select(F.from_json("item", ", ".join(f"{n} string" for n in names)).alias("r"))
+    return found.select(*(f"r.{n}" for n in names))
 
 
 @query(f"with {_MERGED} select engine, source, id, pageUrl, selector from merged where engine in ('axe-core', 'pa11y')")

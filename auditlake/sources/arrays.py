@@ -10,7 +10,9 @@ together from their parts.
 
 from __future__ import annotations
 
+import bisect
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,18 +46,21 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bool, by
     """(path, block, size), whether the block begins, and bytes, for each run of a block's pieces. Every brace goes with what follows it."""
     now = None
     for b in batches:
-        names = list(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True))
         texts = b.column(3).cast(pa.large_binary() if pa.types.is_large_string(b.column(3).type) else pa.binary()).to_pylist()
         at = 0
-        while at < len(names):
-            key, end = names[at], at
-            while end < len(names) and names[end] == key:
-                end += 1
+        while at < len(texts):
+            key = _key(b, at)
+            # a block's pieces follow each other
+            end = bisect.bisect_right(range(at, len(texts)), False, key=lambda k: _key(b, k) != key) + at
             begins = key != now
             yield key, begins, (b"" if begins and key[1] == 0 else b"}") + b"}".join(texts[at:end])
             now, at = key, end
 
 
+def _key(batch: pa.RecordBatch, row: int) -> tuple[str, int, int]:
+    return tuple(batch.column(c)[row].as_py() for c in range(3))
+
+
 def _marks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Places of brackets and commas, their bytes, whether an odd number of quotes is before each, and the number of quotes."""
     a = np.frombuffer(data, np.uint8)
@@ -185,7 +190,11 @@ def _framed(parts: DataFrame) -> DataFrame:
     right = F.rtrim("text", F.lit(_BLANK))
     rows = rows.withColumn("text", F.when(~F.col("last"), F.col("text")).when(right.endswith("]"), F.substr(right, F.lit(1), F.length(right) - 1)))
     rows = rows.where(~(F.col("last") & (F.col("idx") == 0) & (F.btrim("text", F.lit(_BLANK)) == "")) | F.col("text").isNull())
-    return rows.select("path", "idx", F.to_json(F.try_parse_json("text")).alias("item"), parses(F.col("text")).alias("valid"))
+    # one parse: if a mark that no text has comes second in the array, the text is one value and the array ends after it
+    mark = uuid.uuid4().hex
+    rows = rows.select("path", "idx", F.try_parse_json(F.concat(F.lit("["), "text", F.lit(f',"{mark}"]'))).alias("v"))
+    valid = F.coalesce(F.try_variant_get("v", "$[1]", "string") == mark, F.lit(False))
+    return rows.select("path", "idx", F.to_json(F.try_variant_get("v", "$[0]", "variant")).alias("item"), valid.alias("valid"))
 
 
 def _checked(rows: DataFrame) -> DataFrame:

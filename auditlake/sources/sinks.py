@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.js import first_match, js_or
 from auditlake.operators.normalize import impact_name
+from auditlake.sources.arrays import join_parts
 
 CSV_OPTIONS = {"sep": ";", "quote": '"', "header": "true", "quoteAll": "true", "encoding": "UTF-8"}
 
@@ -87,22 +86,25 @@ def write_csv(rows: DataFrame, path: str, *, single: bool = False) -> None:
 def write_json_array(rows: DataFrame, path: str, order: str | None = "_ord") -> None:
     """One file with one JSON array, an object a line, sorted by ``order``.
 
-    The rows are sorted by all tasks and stream through one, which writes; nothing
-    gathers them in memory.
+    The rows are sorted and written by all tasks, whose files are then joined.
     """
-    objects = (rows.orderBy(order).drop(order) if order else rows).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = "["
-        for b in batches:
-            out = []
-            for text in b.column(0).to_pylist():
-                out.append(before + text)
-                before = ","
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
-        yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"])], ["value"])
-
-    _write_file(objects.mapInArrow(run, "value string"), path)
+    write_values((rows.orderBy(order).drop(order) if order else rows).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")), path)
+
+
+def write_values(values: DataFrame, path: str) -> None:
+    """One file with one JSON array of the JSON texts in ``value``, in their order."""
+    spark = values.sparkSession
+    aside = f"{path}.{uuid.uuid4().hex}"
+    values.select(F.concat(F.lit(","), "value")).write.text(aside)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, folder, whole = hadoop.Path(path), hadoop.Path(aside), hadoop.Path(f"{aside}.whole")
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [(f.getPath().toString(), f.getLen()) for f in store.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    join_parts(spark, sorted(parts), store.makeQualified(whole).toString())
+    store.delete(target, False)
+    if not store.rename(whole, target):
+        raise OSError(f"{path} could not be written")
+    store.delete(folder, True)
 
 
 def write_object(row: DataFrame, path: str) -> None:

@@ -513,3 +513,20 @@ def test_arrays_beyond_a_variant_are_read(spark, tmp_path):
         out.write("]")
     rows = readers.raw_findings(spark, str(tmp_path))
     assert sorted(r["id"] for r in rows.select("id").collect()) == sorted(f"r{k}" for k in range(140))
+
+
+def test_array_file_is_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    """One file of the same bytes, however many tasks and chunks write it."""
+    from auditlake.sources import arrays
+
+    monkeypatch.setattr(arrays, "CHUNK", 100)
+    frame = spark.range(500).select((-F.col("id")).alias("_ord"), F.concat(F.lit('ñ"\n'), F.col("id").cast("string")).alias("id"))
+    want = "[" + "\n,".join(json.dumps({"id": f'ñ"\n{k}'}, ensure_ascii=False, separators=(",", ":")) for k in reversed(range(500))) + "\n]\n"
+    for path in (str(tmp_path / "a.json"), f"file://{tmp_path}/b.json"):
+        sinks.write_json_array(frame.repartition(7), path)
+    monkeypatch.setattr(arrays, "local_path", lambda uri: None)  # as on stores that are not mounted
+    sinks.write_json_array(frame.repartition(7), str(tmp_path / "c.json"))
+    assert [(tmp_path / f"{n}.json").read_text() for n in "abc"] == [want] * 3
+    sinks.write_json_array(frame.where("false"), str(tmp_path / "d.json"))
+    assert (tmp_path / "d.json").read_text() == "[]\n"
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["a.json", "b.json", "c.json", "d.json"]
