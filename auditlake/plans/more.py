@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import js
 from auditlake.operators import captures, dedup, gates, linkgraph, lookup, metrics, normalize, rules, urls
 from auditlake.plans.registry import _DIMS, _GROUPS, _MERGED, _NESTED, _RAW, _RESOLVE, _SEV4, _SLUG, _merged, query
-from auditlake.session import scratch
+from auditlake.session import scratch, settled
 from auditlake.sources import arrays, bind, readers, sinks
 from auditlake.sources.bind import table
 
@@ -161,7 +161,7 @@ def sink_ci_markdown(spark, d):
 def sink_dashboard(spark, d):
     """The dashboard in its dated folder; every count stands in it."""
     folder = scratch(spark, "dashboard")
-    m = _merged(spark, d)
+    m = settled(_merged(spark, d).select("impact", "engine"), "merged")
     sinks.write_text(spark, f"{folder}/dashboard.html", sinks.dashboard(m))
     (copy,) = sinks.dated_copy(spark, [f"{folder}/dashboard.html"], f"{folder}/public", "2024-01-31")
     page = spark.read.text(copy, wholetext=True)

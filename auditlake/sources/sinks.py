@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.js import first_match, js_or
 from auditlake.operators.normalize import impact_name
+from auditlake.session import settled
 from auditlake.sources.arrays import join_parts
 
 CSV_OPTIONS = {"sep": ";", "quote": '"', "header": "true", "quoteAll": "true", "encoding": "UTF-8"}
@@ -161,8 +162,10 @@ def dashboard(findings: DataFrame, title: str = "Dashboard") -> str:
     """The dashboard's page: findings by impact and by engine, absent values under their labels."""
     from auditlake.operators.metrics import count_by, histogram
 
-    impacts = histogram(findings).orderBy(F.desc("n"), "value")
-    engines = count_by(findings, "engine", "desconocido").orderBy(F.desc("n"), "value")
+    # what the findings are made of is computed once
+    both = settled(findings.select("impact", "engine"), "counted")
+    impacts = histogram(both).orderBy(F.desc("n"), "value")
+    engines = count_by(both, "engine", "desconocido").orderBy(F.desc("n"), "value")
     return html(title, {"Impacto": impacts, "Motor": engines})
 
 

@@ -530,3 +530,17 @@ def test_array_file_is_written_by_all_tasks(spark, tmp_path, monkeypatch):
     sinks.write_json_array(frame.where("false"), str(tmp_path / "d.json"))
     assert (tmp_path / "d.json").read_text() == "[]\n"
     assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["a.json", "b.json", "c.json", "d.json"]
+
+
+def test_dashboard_computes_its_findings_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    frame = spark.createDataFrame([("minor", "pa11y"), ("minor", None), (None, "axe-core")], "impact string, engine string").mapInArrow(look, "impact string, engine string")
+    page = sinks.dashboard(frame)
+    assert "<td>minor</td><td>2</td>" in page and "<td>sin clasificar</td><td>1</td>" in page and "<td>desconocido</td><td>1</td>" in page
+    assert seen.value == 3
