@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space that trimming removes (Spark's own trim knows blanks only).
 _SPACE = r"[\s\x{FEFF}\p{Z}]"
+#: The same characters one by one.
+_SPACES = " \t\n\x0b\f\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def js_or(*values: Column | str) -> Column:
@@ -19,8 +21,15 @@ def js_or(*values: Column | str) -> Column:
     return F.coalesce(*picked, *([last] if last is not None else []))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def js_trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")
+    # the pattern also cuts before a last U+0085, and looks at every place; most texts have nothing to cut
+    plain = lambda x: (F.btrim(x, F.lit(_SPACES)) == x) & ~x.endswith("\u0085")
+    return let(text, lambda x: F.when(plain(x), x).otherwise(F.regexp_replace(x, f"^{_SPACE}+|{_SPACE}+$", "")))
 
 
 def contains_any(text: Column, parts: Iterable[str]) -> Column:

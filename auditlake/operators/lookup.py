@@ -38,11 +38,14 @@ def _keyed(rows: DataFrame, rule: str, normalized: str, *, strict: bool) -> Data
     found = rows.join(F.broadcast(known), F.col(normalized) == F.col("_k1_rule"), "left").join(F.broadcast(own), F.col(rule) == F.col("_k2_rule"), "left")
     none = F.lit(None).cast("string")
     order = sorted(numbers, key=len, reverse=True) if strict else numbers
-    k = {1: F.col("_k1"), 2: F.col("_k2")}
-    k[3] = first_match([(F.col(normalized).contains(c), c) for c in order], none)
-    k[4] = first_match([(F.col(normalized).contains(w), c) for w, c in dims.KEYWORDS], none)
+    # as an array: 44 nested cases are more code than the JVM compiles; every number has a dot, most ids have none
+    within = F.get(F.filter(F.array(*map(F.lit, order)), lambda c: F.col(normalized).contains(c)), F.lit(0))
+    word = first_match([(F.col(normalized).contains(w), c) for w, c in dims.KEYWORDS], none)
+    open_ = F.col("_k1").isNull() & F.col("_k2").isNull()
+    found = found.withColumn("_k3", F.when(open_ & F.col(normalized).contains("."), within)).withColumn("_k4", F.when(open_ & F.col("_k3").isNull(), word))
+    k = {t: F.col(f"_k{t}") for t in (1, 2, 3, 4)}
     tier = first_match([(k[t].isNotNull(), F.lit(t)) for t in (1, 2, 3, 4)], F.lit(0))
-    return found.withColumns({"_tier": tier, "_criterion": F.coalesce(*k.values())}).drop("_k1_rule", "_k1", "_k2_rule", "_k2")
+    return found.withColumns({"_tier": tier, "_criterion": F.coalesce(*k.values())}).drop("_k1_rule", "_k1", "_k2_rule", "_k2", "_k3", "_k4")
 
 
 def _with_fields(rows: DataFrame, rule: str, names: dict[str, str]) -> DataFrame:

@@ -122,7 +122,8 @@ def sink_csv(spark, d):
 def sink_grouped_csv(spark, d):
     """K4: grouped findings with their selectors in a column."""
     path = scratch(spark, "csv")
-    sinks.write_csv(sinks.grouped_csv_rows(dedup.grouped(_merged(spark, d))), path)
+    used = _merged(spark, d).select("_ord", "id", "pageUrl", "engine", "source", "impact", "wcag", "selector", "context")
+    sinks.write_csv(sinks.grouped_csv_rows(dedup.grouped(used)), path)
     back = spark.read.options(**(sinks.CSV_OPTIONS | {"emptyValue": ""})).csv(path)
     return back.withColumn("instances", F.col("instances").cast("int"))
 

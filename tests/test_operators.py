@@ -544,3 +544,20 @@ def test_dashboard_computes_its_findings_once(spark):
     page = sinks.dashboard(frame)
     assert "<td>minor</td><td>2</td>" in page and "<td>sin clasificar</td><td>1</td>" in page and "<td>desconocido</td><td>1</td>" in page
     assert seen.value == 3
+
+
+def test_a_finding_is_translated_once(spark):
+    """Each phrase's pattern stands once in the plan; trimming and translation give what the plain patterns give."""
+    rows = spark.createDataFrame([(1, "sitemap", "image-alt", "Empty heading", "p", "s")], "_ord int, source string, id string, description string, pageUrl string, selector string")
+    plan = normalize.canonical(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?i)Empty heading") == 1
+    texts = [None, "", " ", "a", " a b\t", " x﻿", "x \u0085", "x\u0085", "\u0085 x", "x \n", "EMPTY heading decorative ", "must have discernible textmpty heading", "Kontrast Contrast Ratio"]
+    plain = lambda x: F.regexp_replace(x, r"^[\s\x{FEFF}\p{Z}]+|[\s\x{FEFF}\p{Z}]+$", "")
+
+    def long_way(x):
+        for phrase, wording in normalize.PHRASES:
+            x = F.regexp_replace(x, f"(?i){phrase}", wording)
+        return plain(x)
+
+    assert apply(spark, texts, js.js_trim) == apply(spark, texts, plain)
+    assert apply(spark, texts, normalize.translate) == apply(spark, texts, long_way)
